@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tsreduce.llm.components import connected_components
 from tsreduce.llm.shared import materialize
-from tsreduce.llm.shingles import WordHashes, digest, mix, rolling, words_of
+from tsreduce.llm.shingles import counted, digest, mix, shingle_sets
 from tsreduce.llm.text_pairs import with_texts
 
+SKETCH = 64
 #: Token counts of a task are summed over so many tokens at a time.
 COUNTED = 2_000_000
 
@@ -28,68 +27,72 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> WordHashes:
-    return WordHashes()
+def sketch(s: np.ndarray) -> bytes:
+    """How many tokens fall in each of SKETCH slots, modulo 256. Sets that differ in d tokens have sketches at most d apart."""
+    return np.bincount((s >> np.uint64(40)) & np.uint64(SKETCH - 1), minlength=SKETCH).astype(np.uint8).tobytes()
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(rolling(_hashes().of(words_of(text)), width))
+def sketch_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = x - y
+    return np.minimum(d, -d).sum(axis=1, dtype=np.int64)
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
-    """Of rows (id, text): (id, n, set_key) each, and (token, uses) for tokens that a task meets in three different sets or more."""
+    """Of rows (id, text): (id, n, set_key, sketch) each, and (token, uses) for tokens that a task meets in two different sets or more."""
 
-    def counted(sets):
-        t, n = np.unique(np.concatenate(sets), return_counts=True)
-        return t[n > 2].view(np.int64), n[n > 2]
+    def often(sets):
+        t, n = counted(np.concatenate(sets))
+        return t[n > 1].view(np.int64), n[n > 1]
 
     def batches(it):
         sets, held, seen = [], 0, set()
         for b in it:
-            n, keys = [], []
-            for text in b.column("text"):
-                s = shingle_set(text.as_py(), width)
+            n, keys, sketches = [], [], []
+            for s in shingle_sets(b.column("text"), width):
                 n.append(len(s))
                 keys.append(k := digest(s) if len(s) else None)
+                sketches.append(sketch(s))
                 if len(s) and k not in seen:
                     seen.add(k)
                     sets.append(s)
                     held += len(s)
-            yield _batch(b.column("id"), n, keys, None, None)
+            yield _batch(b.column("id"), n, keys, sketches, None, None)
             if held > COUNTED:
-                yield _batch(b.column("id").slice(0, 0), [], [], *counted(sets))
+                yield _batch(b.column("id").slice(0, 0), [], [], [], *often(sets))
                 sets, held, seen = [], 0, set()
             kind = b.column("id").slice(0, 0)
         if sets:
-            yield _batch(kind, [], [], *counted(sets))
+            yield _batch(kind, [], [], [], *often(sets))
 
-    def _batch(ids, n, keys, tokens, uses):
+    def _batch(ids, n, keys, sketches, tokens, uses):
         m = 0 if tokens is None else len(tokens)
         k = len(ids)
         ids = pa.concat_arrays([ids, pa.nulls(m, ids.type)])
         none = [None] * m
-        return pa.RecordBatch.from_arrays([ids, pa.array(n + none, pa.int64()), pa.array(keys + none, pa.binary()), pa.array([None] * k + (tokens.tolist() if m else []), pa.int64()), pa.array([None] * k + (uses.tolist() if m else []), pa.int64()), pa.array([True] * k + [False] * m)], ["id", "n", "set_key", "token", "uses", "is_doc"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(n + none, pa.int64()), pa.array(keys + none, pa.binary()), pa.array(sketches + none, pa.binary()), pa.array([None] * k + (tokens.tolist() if m else []), pa.int64()), pa.array([None] * k + (uses.tolist() if m else []), pa.int64()), pa.array([True] * k + [False] * m)], ["id", "n", "set_key", "sketch", "token", "uses", "is_doc"])
 
-    return rows.mapInArrow(batches, "id long, n long, set_key binary, token long, uses long, is_doc boolean")
+    return rows.mapInArrow(batches, "id long, n long, set_key binary, sketch binary, token long, uses long, is_doc boolean")
 
 
-def frequent_tokens(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens with the highest counts (at most `most`), sorted, and the level (log2) of each: what ends the global orders."""
-    summed = counts.groupBy("token").agg(F.sum("uses").alias("uses")).where("uses >= 16")
+def frequent_tokens(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens with the highest counts (at most `most`), sorted, the level (log2) of each, and which first 20 bits occur: what ends the global orders."""
+    summed = counts.groupBy("token").agg(F.sum("uses").alias("uses")).where("uses >= 4")
     top = summed.orderBy(F.desc("uses"), "token").limit(most).toArrow()
     tokens = top["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], np.minimum(np.log2(np.maximum(top["uses"].to_numpy(), 1)).astype(np.uint64), 62)[order]
+    known = np.zeros(1 << 20, bool)
+    known[tokens >> np.uint64(44)] = True
+    return tokens[order], np.minimum(np.log2(np.maximum(top["uses"].to_numpy(), 1)).astype(np.uint64), 62)[order], known
 
 
-def order_keys(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], orders: int) -> list[np.ndarray]:
+def order_keys(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray, np.ndarray], orders: int) -> list[np.ndarray]:
     """For each order, the sort keys of the tokens s: rare before frequent ones, and in each level as that order's hash has it."""
-    tokens, levels = frequent
+    tokens, levels, known = frequent
     level = np.zeros(len(s), np.uint64)
-    if len(tokens):
-        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-        level = np.where(tokens[at] == s, levels[at], np.uint64(0))
+    at = np.flatnonzero(known[s >> np.uint64(44)])
+    if len(at):
+        found = np.minimum(np.searchsorted(tokens, s[at]), len(tokens) - 1)
+        level[at] = np.where(tokens[found] == s[at], levels[found], np.uint64(0))
     return [(level << np.uint64(58)) | (mix(s, k + 1) >> np.uint64(6)) for k in range(orders)]
 
 
@@ -101,8 +104,7 @@ def _prefixes(rows: DataFrame, width: int, percent: int, orders: int, frequent)
         seen: set[bytes] = set()
         for b in it:
             out = []
-            for i, text in zip(b.column("id").to_pylist(), b.column("text")):
-                s = shingle_set(text.as_py(), width)
+            for i, s in zip(b.column("id").to_pylist(), shingle_sets(b.column("text"), width)):
                 if not len(s) or i is None or (k := digest(s)) in seen:
                     continue
                 if len(seen) > 300_000:
@@ -168,8 +170,8 @@ def _may_link(na, nb, pa_, pb, percent: int):
 def _cross_pairs(rows: DataFrame, percent: int, orders: int) -> DataFrame:
     """(a, b): pairs of sets (by rep) of different components that pass the filters under every order.
 
-    rows (token, ord, pos, n, rep, comp). Rows of a token lie in order of component; a pair is built where its components
-    differ and size and position allow it. Blocks of a token's rows are met one by one, never all at once.
+    rows (token, ord, pos, n, rep, comp, sketch). Rows of a token lie in order of component; a pair is built where its components
+    differ and size, position and sketches allow it. Blocks of a token's rows are met one by one, never all at once.
     """
     dealt = rows.repartition("token").sortWithinPartitions("token", "comp", "pos", "rep")
     block = 2048
@@ -182,6 +184,8 @@ def _cross_pairs(rows: DataFrame, percent: int, orders: int) -> DataFrame:
         if same_block:
             ok = np.triu(ok, 1)
         i, j = np.nonzero(ok)
+        near = np.concatenate([sketch_distance(x["sketch"][i[k : k + block * 16]], y["sketch"][j[k : k + block * 16]]) for k in range(0, max(len(i), 1), block * 16)])
+        i, j = (z[near <= most[i, j]] for z in (i, j))
         return np.minimum(x["rep"][i], y["rep"][j]), np.maximum(x["rep"][i], y["rep"][j])
 
     def run(parts, order):
@@ -212,6 +216,7 @@ def _cross_pairs(rows: DataFrame, percent: int, orders: int) -> DataFrame:
                 continue
             head = np.append(np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])), len(t))
             cols = {c: b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "n", "rep", "comp")}
+            cols["sketch"] = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
             ords = b.column("ord").to_numpy()
             for lo, hi in zip(head[:-1], head[1:]):
                 if parts and t[lo] != token:
@@ -243,6 +248,21 @@ def _cross_pairs(rows: DataFrame, percent: int, orders: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("orders")).where(F.col("orders") == orders).select("a", "b")
 
 
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches (rep, n, sketch) leave a link possible."""
+    of = lambda x: sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+
+    def batches(it):
+        for b in it:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
+                n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+                ok = sketch_distance(x, y) <= n - 2 * (-(-percent * n // (100 + percent)))
+                yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(batches, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
 
@@ -250,18 +270,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         last, sa = None, None
         for b in it:
             ok = []
-            for a, x, y in zip(b.column("a").to_pylist(), b.column("text_a"), b.column("text_b")):
-                if a != last or sa is None:
-                    last, sa = a, shingle_set(x.as_py(), width)
-                sb = shingle_set(y.as_py(), width)
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
+            ids = b.column("a").to_pylist()
+            new = [x != y for x, y in zip(ids, [last, *ids])]
+            of_a = shingle_sets((x for x, n in zip(b.column("text_a"), new) if n), width)
+            for n, sb in zip(new, shingle_sets(b.column("text_b"), width)):
+                sa = next(of_a) if n else sa
+                both = np.sort(np.concatenate([sa, sb]))
+                both = int(np.count_nonzero(both[1:] == both[:-1]))
                 ok.append(both > 0 and 100 * both >= percent * (len(sa) + len(sb) - both))
+            last = ids[-1] if ids else last
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return with_texts(pairs, texts).mapInArrow(batches, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, percent: int = 90, orders: int = 2, most_frequent: int = 1 << 18) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, percent: int = 90, orders: int = 2, most_frequent: int = 1 << 20) -> DataFrame:
     """For every row of docs: id_col, n_shingles, component_id, set_rep, links.
 
     Sets are the distinct width-word shingles of whole texts (words as ASCII white space divides them, A-Z lower-cased;
@@ -278,10 +301,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     both = materialize(_sets(rows, width), "sets")
-    sets = both.where("is_doc").select("id", "n", "set_key")
+    sets = both.where("is_doc").select("id", "n", "set_key", "sketch")
     frequent = frequent_tokens(both.where("NOT is_doc"), most_frequent)
     named = sets.where("set_key IS NOT NULL AND id IS NOT NULL")
     reps = named.groupBy("set_key").agg(F.min("id").alias("rep"))
+    sketches = named.select(F.col("id").alias("rep"), "n", "sketch").dropDuplicates(["rep"])
     rep_of = materialize(named.join(reps, "set_key").select("id", "rep").distinct(), "reps")
     texts = rows.where("id IS NOT NULL AND text IS NOT NULL")
 
@@ -293,12 +317,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     led = shared.where(F.col("id") != F.col("lead_id")).where(_may_link(F.col("n"), F.col("lead_n"), F.col("pos"), F.col("lead_pos"), percent))
     first = materialize(by_rep(led.select(F.col("id").alias("x"), F.col("lead_id").alias("y")).distinct()), "pairs")
-    linked = materialize(_verified(first, texts, width, percent), "links")
+    linked = materialize(_verified(materialize(_near(first, sketches, percent), "near"), texts, width, percent), "links")
     comps = connected_components(linked, "a", "b")
 
     left = shared.select("token", "ord", "pos", "n", "id").join(rep_of, "id").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    left = left.select("token", "ord", "pos", "n", "rep", F.coalesce("component", "rep").alias("comp")).distinct()
-    second = materialize(_cross_pairs(left, percent, orders).join(first, ["a", "b"], "left_anti"), "pairs")
+    left = left.select("token", "ord", "pos", "n", "rep", F.coalesce("component", "rep").alias("comp")).join(sketches.select("rep", "sketch"), "rep")
+    second = _cross_pairs(left, percent, orders).join(first, ["a", "b"], "left_anti")
+    second = materialize(second, "pairs")
     more = materialize(_verified(second, texts, width, percent), "links")
     links = linked.unionByName(more)
     comps = connected_components(links, "a", "b")
