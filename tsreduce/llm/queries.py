@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsreduce.llm import chat_format, exact_dedup, ngram_join, packing, quality_rules, url_filter
+from tsreduce.llm import chat_format, exact_dedup, ngram_join, packing, quality_rules, substring_dedup, url_filter
 from tsreduce.llm.shared import table
 
 #: Fixed values of the URL query.
@@ -38,6 +38,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("bucket", "chain")
 
@@ -51,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chat_format, op4_quality_rules, op5_ngram_join, op8_exact_dedup, op9_url_filter, op10_packing)}
+    return {f.__name__: f for f in (op2_chat_format, op4_quality_rules, op5_ngram_join, op6_substring_dedup, op8_exact_dedup, op9_url_filter, op10_packing)}
 
 
 #: Words are what ASCII white space divides.

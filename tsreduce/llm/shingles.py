@@ -54,6 +54,13 @@ def _hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix(h), start
 
 
+def word_starts(raw: bytes) -> np.ndarray:
+    """The first byte of each word."""
+    space = np.ones(len(raw) + 1, bool)
+    space[1:] = _SPACE[np.frombuffer(raw, np.uint8)] if raw else True
+    return np.flatnonzero(space[:-1] & ~space[1:])
+
+
 def word_hashes(texts: Iterable, at_once: int = 1 << 20) -> Iterator[np.ndarray]:
     """For each text, the hashes of its words: what ASCII white space divides, A-Z lower-cased. Null has none."""
     held, size = [], 0
