@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tsreduce.llm import chat_format, exact_dedup, ngram_join, packing, quality_rules, substring_dedup, url_filter
+from tsreduce.llm import chat_format, exact_dedup, license_scan, ngram_join, packing, piece_encode, quality_rules, substring_dedup, url_filter, warc_revisit
 from tsreduce.llm.shared import table
 
 #: Fixed values of the URL query.
@@ -23,6 +24,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("missing", "extra")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "'<|im_end|><|im_start|>assistant ok'"
@@ -30,6 +35,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns.unionByName(extra)))
 
 
+def op3_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    return piece_encode.digests(piece_encode.encode(table(spark, sf_dir, "documents"), path), path)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
 
@@ -42,6 +52,34 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """WARC records of every page: a response, and three revisits of it under other spellings of its URL.
+
+    The first comes before the response, the second has its ETag, the third another one and is a day later.
+    """
+    k = F.col("page_id")
+    at = k * 60 + 1_000_000
+
+    def record(n, when, url, kind, headers, payload):
+        return F.struct((k * 4 + n).alias("record_id"), url.alias("url"), when.alias("at"), F.lit(kind).alias("kind"), F.create_map(*(x for p in headers for x in p)).alias("headers"), payload.alias("payload"))
+
+    name = lambda t: F.lit(t)
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    none = F.lit(None).cast("string")
+    made = F.array(
+        record(0, at, F.col("url"), "response", [(name("etag"), tag), (name("content-type"), F.lit("text/html")), (name("date"), at.cast("string"))], F.col("html")),
+        record(1, at - 30, F.col("url"), "revisit", [(name("etag"), tag)], none),
+        record(2, at + 30, F.concat(F.col("url"), F.lit("#again")), "revisit", [(name("etag"), F.concat(F.lit("W/"), tag)), (name("date"), (at + 30).cast("string")), (name("content-type"), F.lit("text/plain"))], none),
+        record(3, at + 86_400, F.regexp_replace("url", "^http:", "https:"), "revisit", [(name("etag"), F.lit('"other"'))], none),
+    )
+    return pages.select(F.explode(made).alias("r")).select("r.*")
+
+
+def op7_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisit.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "at", "kind", "resolution", "refers_to", F.col("headers")["etag"].alias("etag"), F.col("headers")["date"].alias("date"), F.col("headers")["content-type"].alias("content_type"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("bucket", "chain")
 
@@ -55,7 +93,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chat_format, op4_quality_rules, op5_ngram_join, op6_substring_dedup, op8_exact_dedup, op9_url_filter, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_piece_encode, op4_quality_rules, op5_ngram_join, op6_substring_dedup, op7_warc_revisit, op8_exact_dedup, op9_url_filter, op10_packing)}
 
 
 #: Words are what ASCII white space divides.
@@ -114,5 +152,27 @@ fitting AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fitting USING (page_id)"""
 
 
+OP7_SQL = r"""
+WITH p AS (SELECT page_id AS k, url, html, page_id * 60 + 1000000 AS t, '"' || md5(coalesce(html, '')) || '"' AS tag FROM pages),
+records AS (
+  SELECT k * 4 AS record_id, url, t AS "at", 'response' AS kind, tag AS etag, CAST(t AS VARCHAR) AS date, 'text/html' AS content_type, html AS payload FROM p
+  UNION ALL SELECT k * 4 + 1, url, t - 30, 'revisit', tag, NULL, NULL, NULL FROM p
+  UNION ALL SELECT k * 4 + 2, url || '#again', t + 30, 'revisit', 'W/' || tag, CAST(t + 30 AS VARCHAR), 'text/plain', NULL FROM p
+  UNION ALL SELECT k * 4 + 3, regexp_replace(url, '^http:', 'https:'), t + 86400, 'revisit', '"other"', NULL, NULL, NULL FROM p),
+named AS (SELECT *, CASE WHEN contains(url, '://') THEN
+    regexp_replace(lower(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1)), '^www\.|:(80|443)$', '', 'g')
+    || CASE WHEN regexp_extract(url, '^[\s\S]*?://[^/?#]*([^#]*)', 1)[1] = '/' THEN '' ELSE '/' END
+    || regexp_extract(url, '^[\s\S]*?://[^/?#]*([^#]*)', 1) ELSE url END AS c FROM records),
+prior AS (
+  SELECT r.record_id, arg_max(struct_pack(id := f.record_id, etag := f.etag, date := f.date, content_type := f.content_type, payload := f.payload), struct_pack(a := f."at", b := f.record_id)) AS f
+  FROM named r JOIN named f ON f.kind = 'response' AND r.kind = 'revisit' AND f.c = r.c AND f."at" < r."at" GROUP BY r.record_id),
+met AS (SELECT n.*, f, CASE WHEN kind = 'response' THEN 'response' WHEN f IS NULL THEN 'missing' WHEN regexp_replace(n.etag, '^W/', '') = regexp_replace(f.etag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END AS resolution
+  FROM named n LEFT JOIN prior USING (record_id))
+SELECT record_id, "at", kind, resolution, CASE WHEN kind = 'revisit' THEN f.id END AS refers_to, etag,
+  CASE WHEN resolution = 'resolved' THEN coalesce(date, f.date) ELSE date END AS date,
+  CASE WHEN resolution = 'resolved' THEN f.content_type ELSE content_type END AS content_type,
+  sha256(CASE WHEN resolution = 'resolved' THEN f.payload ELSE payload END) AS payload_sha256 FROM met"""
+
+
 def oracle_sql() -> dict:
-    return {"op2_chat_format": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op7_warc_revisit": OP7_SQL, "op2_chat_format": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
