@@ -1,0 +1 @@
+"""Time-series aggregation for energy-system planning, on Spark."""
