@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsreduce.llm.shingles import counted
 from tsreduce.llm.tokens import byte_bpe
 
 COLUMNS = {"start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
@@ -22,11 +23,11 @@ class Shard:
     def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, query_terms: int = 12) -> None:
         self.docs, self.unused, self.cursor = docs, np.ones(len(docs), bool), 0
         # the last id ends every document and tells nothing
-        counted = [np.unique(d[:-1], return_counts=True) for d in docs]
-        sizes = np.array([len(t) for t, _ in counted], np.int64)
+        terms = [counted(d[:-1]) for d in docs]
+        sizes = np.array([len(t) for t, _ in terms], np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.terms = np.concatenate([t for t, _ in counted]) if len(docs) else np.zeros(0, np.uint32)
-        tf = np.concatenate([c for _, c in counted]).astype(np.float32) if len(docs) else np.zeros(0, np.float32)
+        self.terms = np.concatenate([t for t, _ in terms]) if len(docs) else np.zeros(0, np.uint32)
+        tf = np.concatenate([c for _, c in terms]).astype(np.float32) if len(docs) else np.zeros(0, np.float32)
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
         lengths = np.array([len(d) for d in docs], np.float32)
         order = np.argsort(self.terms, kind="stable")

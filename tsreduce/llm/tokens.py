@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 #: The vocabulary's own pattern (fixed value): it splits a text before the merges.
@@ -21,9 +22,9 @@ def _bytes_of_symbols() -> dict[str, int]:
 
 
 class ByteBPE(dict):
-    """Ids as little-endian unsigned 32-bit bytes, by chunk of text. It forgets all chunks when it holds most of them."""
+    """Ids as little-endian unsigned 32-bit bytes, by chunk of text. When it holds most of them, it forgets those that it hasn't met since the last time."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         import tiktoken
 
         symbols = _bytes_of_symbols()
@@ -32,16 +33,20 @@ class ByteBPE(dict):
         special = {t["content"] for t in model.get("added_tokens", ())}
         ranks = {bytes(map(symbols.__getitem__, k)): i for k, i in model["model"]["vocab"].items() if k not in special}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.most = most
+        self.most, self.before = most, {}
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
-        ids = self[chunk] = self.encoding.encode_to_numpy(chunk).astype("<u4").tobytes() if len(chunk) < 64 else self._whole(chunk)
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self._whole(chunk)
+        self[chunk] = ids
         return ids
 
     def _whole(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text).astype("<u4").tobytes()
+        return array("I", self.encoding.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids that the tokenizers library gives without special tokens; control strings in a text are ordinary text."""
