@@ -16,7 +16,9 @@ def connect(sf):
 def plain(v):
     if v is None or isinstance(v, (float, np.floating)) and np.isnan(v):
         return None
-    return round(float(v), 5) if isinstance(v, (float, np.floating)) else v
+    if isinstance(v, (float, np.floating)):
+        return int(v) if float(v).is_integer() else round(float(v), 5)
+    return int(v) if isinstance(v, np.integer) else v
 
 
 def rows(pdf):
