@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsreduce.llm.shared import materialize
+from tsreduce.llm.shared import materialize, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,7 +39,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, *, max_rounds: in
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = materialize(_small_star(_large_star(edges).distinct()), "cc")
+        after = materialize(_small_star(_large_star(edges).distinct()), "cc")
+        release(edges)
+        edges = after
         now = _state(edges)
         if now == before:
             break

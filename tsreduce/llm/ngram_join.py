@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsreduce.llm.components import connected_components
-from tsreduce.llm.shared import materialize
+from tsreduce.llm.shared import materialize, release
 from tsreduce.llm.shingles import counted, digest, mix, shingle_sets
 from tsreduce.llm.text_pairs import with_texts
 
@@ -69,7 +69,7 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
         k = len(ids)
         ids = pa.concat_arrays([ids, pa.nulls(m, ids.type)])
         none = [None] * m
-        return pa.RecordBatch.from_arrays([ids, pa.array(n + none, pa.int64()), pa.array(keys + none, pa.binary()), pa.array(sketches + none, pa.binary()), pa.array([None] * k + (tokens.tolist() if m else []), pa.int64()), pa.array([None] * k + (uses.tolist() if m else []), pa.int64()), pa.array([True] * k + [False] * m)], ["id", "n", "set_key", "sketch", "token", "uses", "is_doc"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(n + none, pa.int64()), pa.array(keys + none, pa.binary()), pa.array(sketches + none, pa.binary()), pa.array([None] * k + (tokens.tolist() if m else []), pa.int64()), pa.array([None] * k + (uses.tolist() if m else []), pa.int64()), pa.array([True] * k + [False] * m, pa.bool_())], ["id", "n", "set_key", "sketch", "token", "uses", "is_doc"])
 
     return rows.mapInArrow(batches, "id long, n long, set_key binary, sketch binary, token long, uses long, is_doc boolean")
 
@@ -281,7 +281,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             last = ids[-1] if ids else last
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return with_texts(pairs, texts).mapInArrow(batches, "a long, b long")
+    joined, named = with_texts(pairs, texts)
+    out = materialize(joined.mapInArrow(batches, "a long, b long"), "links")
+    release(named, pairs)
+    return out
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, percent: int = 90, orders: int = 2, most_frequent: int = 1 << 20) -> DataFrame:
@@ -317,14 +320,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     led = shared.where(F.col("id") != F.col("lead_id")).where(_may_link(F.col("n"), F.col("lead_n"), F.col("pos"), F.col("lead_pos"), percent))
     first = materialize(by_rep(led.select(F.col("id").alias("x"), F.col("lead_id").alias("y")).distinct()), "pairs")
-    linked = materialize(_verified(materialize(_near(first, sketches, percent), "near"), texts, width, percent), "links")
+    linked = _verified(materialize(_near(first, sketches, percent), "near"), texts, width, percent)
     comps = connected_components(linked, "a", "b")
 
     left = shared.select("token", "ord", "pos", "n", "id").join(rep_of, "id").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     left = left.select("token", "ord", "pos", "n", "rep", F.coalesce("component", "rep").alias("comp")).join(sketches.select("rep", "sketch"), "rep")
     second = _cross_pairs(left, percent, orders).join(first, ["a", "b"], "left_anti")
     second = materialize(second, "pairs")
-    more = materialize(_verified(second, texts, width, percent), "links")
+    release(shared, first)
+    more = _verified(second, texts, width, percent)
     links = linked.unionByName(more)
     comps = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))

@@ -26,7 +26,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as written to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes tables that materialize has written and that nothing still to be computed reads."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col):
