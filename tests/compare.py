@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -14,7 +15,7 @@ def connect(sf):
 
 
 def plain(v):
-    if v is None or isinstance(v, (float, np.floating)) and np.isnan(v):
+    if v is None or v is pd.NA or isinstance(v, (float, np.floating)) and np.isnan(v):
         return None
     if isinstance(v, (float, np.floating)):
         return int(v) if float(v).is_integer() else round(float(v), 5)
