@@ -12,7 +12,8 @@ from tsreduce.llm.shared import materialize, release
 from tsreduce.llm.shingles import counted, digest, mix, shingle_sets
 from tsreduce.llm.text_pairs import with_texts
 
-SKETCH = 64
+#: Slots of a sketch. The more there are, the fewer unlike sets pass; only rows that meet another component carry one.
+SKETCH = 256
 #: Token counts of a task are summed over so many tokens at a time.
 COUNTED = 2_000_000
 
@@ -184,7 +185,7 @@ def _cross_pairs(rows: DataFrame, percent: int, orders: int) -> DataFrame:
         if same_block:
             ok = np.triu(ok, 1)
         i, j = np.nonzero(ok)
-        near = np.concatenate([sketch_distance(x["sketch"][i[k : k + block * 16]], y["sketch"][j[k : k + block * 16]]) for k in range(0, max(len(i), 1), block * 16)])
+        near = np.concatenate([sketch_distance(x["sketch"][i[k : k + block * 8]], y["sketch"][j[k : k + block * 8]]) for k in range(0, max(len(i), 1), block * 8)])
         i, j = (z[near <= most[i, j]] for z in (i, j))
         return np.minimum(x["rep"][i], y["rep"][j]), np.maximum(x["rep"][i], y["rep"][j])
 
@@ -300,7 +301,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Equal sets are one class, in each task before any shuffle. Prefix tokens are met under `orders` global orders, each
     with rare tokens first (counts are of all documents; the most_frequent commonest end the orders, which bounds what
     is broadcast). First each set is verified against its tokens' leaders; then only pairs of different components
-    remain, which must share a prefix token at low enough positions under every order.
+    remain, which must share a prefix token at low enough positions under every order. Tokens that only one component has
+    are left out before sketches are joined to their rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     both = materialize(_sets(rows, width), "sets")
@@ -324,10 +326,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comps = connected_components(linked, "a", "b")
 
     left = shared.select("token", "ord", "pos", "n", "id").join(rep_of, "id").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    left = left.select("token", "ord", "pos", "n", "rep", F.coalesce("component", "rep").alias("comp")).join(sketches.select("rep", "sketch"), "rep")
-    second = _cross_pairs(left, percent, orders).join(first, ["a", "b"], "left_anti")
+    left = materialize(left.select("token", "ord", "pos", "n", "rep", F.coalesce("component", "rep").alias("comp")), "rows")
+    release(shared)
+    # a token of one component alone builds no pair
+    mixed = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    meeting = left.join(mixed, "token", "left_semi").distinct().join(sketches.select("rep", "sketch"), "rep")
+    second = _cross_pairs(meeting, percent, orders).join(first, ["a", "b"], "left_anti")
     second = materialize(second, "pairs")
-    release(shared, first)
+    release(left, first)
     more = _verified(second, texts, width, percent)
     links = linked.unionByName(more)
     comps = connected_components(links, "a", "b")
