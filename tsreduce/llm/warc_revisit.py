@@ -57,7 +57,9 @@ def resolve_revisits(records: DataFrame, *, block_seconds: int = 86_400, permitt
     revisits = ours.where("kind <> 'response' OR kind IS NULL")
     asked = revisits.join(prior.withColumnRenamed("url", "canonical"), ["canonical", "at"], "left")
     source = ours.where("kind = 'response'").select(F.col("record_id").alias("prior"), F.col("headers").alias("full_headers"), F.col("payload").alias("full_payload")).dropDuplicates(["prior"])
-    met = asked.join(source, "prior", "left")
+    # revisits without an earlier response match nothing: dealt by record, they don't all meet in one task
+    asked = asked.withColumn("spread", F.when(F.col("prior").isNull(), F.pmod(F.hash("record_id"), F.lit(4096))).otherwise(0))
+    met = asked.join(source.withColumn("spread", F.lit(0)), ["prior", "spread"], "left")
     mine, full_h = F.col("headers"), F.col("full_headers")
     tags = (_etag(mine["etag"]), _etag(full_h["etag"]))
     dates = (F.trim(mine["last-modified"]), F.trim(full_h["last-modified"]))
