@@ -215,7 +215,7 @@ def digests(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -> Data
         model = piece_model(model_path)
         for b in it:
             ids = [np.array(x or [], "<u4") for x in b.column(1).to_pylist()]
-            sha = [hashlib.sha256(model.decode(x.tolist()).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
+            sha = [hashlib.sha256((model.library.decode(x.tolist()) if len(x) else "").encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, ids), pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(sha, pa.string())], [id_col, "n_tokens", "ids_crc32", "text_sha256"])
 
     return encoded.select(F.col(id_col), "ids").mapInArrow(batches, f"`{id_col}` {kind}, n_tokens long, ids_crc32 long, text_sha256 string")
