@@ -56,10 +56,11 @@ def resolve_revisits(records: DataFrame, *, block_seconds: int = 86_400, permitt
     prior = latest_before(instants, block_seconds).where("prior IS NOT NULL")
     revisits = ours.where("kind <> 'response' OR kind IS NULL")
     asked = revisits.join(prior.withColumnRenamed("url", "canonical"), ["canonical", "at"], "left")
-    # revisits without an earlier response match nothing: dealt by record, they don't all meet in one task
-    spread = F.when(F.col("prior").isNull(), 1 + F.pmod(F.hash("record_id"), F.lit(4096))).otherwise(0)
-    source = ours.where("kind = 'response'").select(F.struct(F.col("record_id").alias("prior"), F.lit(0).alias("spread")).alias("source"), F.col("headers").alias("full_headers"), F.col("payload").alias("full_payload")).dropDuplicates(["source"])
-    met = asked.withColumn("source", F.struct("prior", spread.alias("spread"))).join(source, "source", "left")
+    # revisits without an earlier response match nothing: dealt by record, they don't all meet in one task. The sources'
+    # spread, always 0, is no literal: both sides are then dealt by both keys
+    spread = F.pmod(F.hash("record_id"), F.lit(4096))
+    source = ours.where("kind = 'response'").select(F.col("record_id").alias("prior"), F.pmod(F.hash("record_id"), F.lit(1)).alias("spread"), F.col("headers").alias("full_headers"), F.col("payload").alias("full_payload")).dropDuplicates(["prior", "spread"])
+    met = asked.withColumn("spread", F.when(F.col("prior").isNull(), spread).otherwise(0)).join(source, ["prior", "spread"], "left")
     mine, full_h = F.col("headers"), F.col("full_headers")
     tags = (_etag(mine["etag"]), _etag(full_h["etag"]))
     dates = (F.trim(mine["last-modified"]), F.trim(full_h["last-modified"]))
