@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,13 @@ def test_pieces_match_the_library(docs):
     assert sorted(str((r.doc_id, r.text)) for r in back) == sorted(str((i, t or "")) for i, t in texts_of(docs))
 
 
+def test_odd_spaces_and_marks_match_the_library():
+    model = piece_encode.PieceModel(Q.tokenizer_path("piece_bpe_32k.model"))
+    texts = ["a b", " a  b ", "   ", "", None, "x▁y ▁", "the \n  end", "🙂🙂 日本 é!?$$$ 0641917ea", " ", "a" * 300]
+    for part in (pa.array(texts), pa.array(texts).slice(3), pa.array([], pa.string()), pa.array([None], pa.string())):
+        assert model.encode_texts(part).to_pylist() == [model.library.encode(t or "") for t in part.to_pylist()]
+
+
 def test_unigram_viterbi_brute_force():
     model = piece_encode.PieceModel(Q.tokenizer_path("piece_bpe_32k.model"), piece_encode.UNIGRAM)
 

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
-from collections.abc import Iterable
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MARK = "▁"
 #: No piece has a mark behind another character, so no piece reaches from one marked word into the next.
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, BPE = 1, 2
+#: What a Python worker keeps at most: encoded words, and pairs of pieces.
+MOST_WORDS, MOST_PAIRS = 800_000, 1_000_000
+#: Bytes of text whose words are sorted at once.
+AT_ONCE = 8_000_000
 
 
 def _fields(b: bytes):
@@ -44,6 +51,20 @@ def _fields(b: bytes):
         at += size
 
 
+class _Pairs(dict):
+    """Whether merging pieces u and t leaves both as they are, by (u, t)."""
+
+    def __init__(self, model: PieceModel) -> None:
+        self.model = model
+
+    def __missing__(self, key: tuple[int, int]) -> bool:
+        if len(self) >= MOST_PAIRS:
+            self.clear()
+        both = [self.model.pieces[i] for i in key]
+        found = self[key] = self.model.merged("".join(both)) == both
+        return found
+
+
 class PieceModel:
     """A model file's pieces, and the forward pass over its words.
 
@@ -66,70 +87,83 @@ class PieceModel:
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.unknown = sp.unk_id()
         self.unknown_score = min(self.score.values()) - 10
-        self.longest = max(map(len, self.ids))
-        self.pairs: dict[tuple[int, int], bool] = {}
-
-    def merged(self, text: str) -> list[int]:
+        self.pairs = _Pairs(self)
+        self.rank = {p: self.score[i] for p, i in self.ids.items()}
+        self.root: dict = {}
+        for piece, i in self.ids.items():
+            node = self.root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
+        self.known: dict[str, bytes] = {}
+
+    def merged(self, text: str) -> list[str]:
         """The merges themselves: of neighbours whose union is a piece, the one of the highest score, leftmost first."""
-        parts = list(text)
-        while True:
-            best = max(((self.score[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
-            if best is None:
-                return [self.ids.get(p, -1) for p in parts]
-            k = -best[1]
+        parts, rank, none = list(text), self.rank.get, float("-inf")
+        scores = [rank(x + y, none) for x, y in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > none:
+            k = scores.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-
-    def stays(self, u: int, t: int) -> bool:
-        key = (u, t)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(self.pieces[u] + self.pieces[t]) == [u, t]
-        return known
-
-    def step(self, word: str, n: int, states: list[tuple]) -> tuple:
-        """The state (score, last piece or -1, where it starts) of the first n characters, from those before it."""
-        best = None
-        for start in range(max(0, n - self.longest), n):
-            t = self.ids.get(word[start:n])
-            if t is None:
-                continue
-            score, u, _ = states[start]
-            if self.model_type == BPE:
-                # an unknown character (-1) merges with nothing
-                if start and u >= 0 and not self.stays(u, t) or u == -2:
-                    continue
-                return 0.0, t, start
-            if best is None or score + self.score[t] > best[0]:
-                best = (score + self.score[t], t, start)
-        if word[n - 1] not in self.ids:
-            other = (states[n - 1][0] + self.unknown_score, -1, n - 1)
+            del scores[k]
+            if k:
+                scores[k - 1] = rank(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = rank(parts[k] + parts[k + 1], none)
+        return parts
+
+    def merge_step(self, c: str, n: int, state: tuple) -> tuple:
+        """The state of n characters for a BPE model, from the one before and the character c. Last piece: -1 for an unknown character, -2 where the prefix has no encoding of its own, -3 for the empty prefix."""
+        pairs, last, at, open_ = self.pairs, None, n - 1, []
+        for start, u, node in state[3]:
+            if (node := node.get(c)) is not None:
+                open_.append((start, u, node))
+                # an unknown character merges with nothing
+                if last is None and (t := node.get("")) is not None and (u == -3 or u == -1 or u >= 0 and pairs[u, t]):
+                    last, at = t, start
+        if last is None:
+            last = -2 if c in self.ids else -1
+        open_.append((n, last, self.root))
+        return 0.0, last, at, open_
+
+    def score_step(self, c: str, n: int, state: tuple) -> tuple:
+        """The same for a unigram model: the best sum of scores; a place carries its score instead of its last piece."""
+        best, open_ = None, []
+        for start, score, node in state[3]:
+            if (node := node.get(c)) is not None:
+                open_.append((start, score, node))
+                if (t := node.get("")) is not None and (best is None or score + self.score[t] > best[0]):
+                    best = (score + self.score[t], t, start)
+        if c not in self.ids:
+            other = (state[0] + self.unknown_score, -1, n - 1)
             best = other if best is None or other[0] > best[0] else best
-        return best or (0.0, -2, n - 1)
+        open_.append((n, best[0], self.root))
+        return *best, open_
 
     def back(self, word: str, states: list[tuple]) -> list[int]:
         out, n = [], len(word)
         while n:
-            _, t, start = states[n]
-            if t == -2:  # no such prefix has an encoding of its own: merge outright
-                return [x for i, c in zip(self.merged(word), self._parts(word)) for x in ([i] if i >= 0 else self.fallback(c))]
-            out.append([t] if t >= 0 else self.fallback(word[start:n]))
+            _, t, start, _ = states[n]
+            if t == -2:  # merge outright
+                return [i for p in self.merged(word) for i in ([self.ids[p]] if p in self.ids else self.fallback(p))]
+            if t >= 0:
+                out.append(t)
+            else:
+                out.extend(reversed(self.fallback(word[start:n])))
             n = start
-        return [i for x in reversed(out) for i in x]
-
-    def _parts(self, word: str) -> list[str]:
-        at, out = 0, []
-        for i in self.merged(word):
-            out.append(self.pieces[i] if i >= 0 else word[at])
-            at += len(out[-1])
+        out.reverse()
         return out
 
     def fallback(self, text: str) -> list[int]:
         return [self.bytes[b] for b in text.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids (little-endian unsigned 32-bit) of distinct marked words: in sorted order a depth-first walk of their trie, in which a word keeps the states of the prefix that it shares with the one before."""
-        out, before, states = {}, "", [(0.0, -3, 0)]
+        """Ids (little-endian unsigned 32-bit) of distinct marked words: in sorted order a depth-first walk of their trie, in which a word keeps the states of the prefix that it shares with the one before.
+
+        A state is (score, last piece, where that starts, places); places are (start, its last piece or score, node of
+        the trie of pieces) of the pieces that may go on, the longest first.
+        """
+        step, first = (self.merge_step, -3) if self.model_type == BPE else (self.score_step, 0.0)
+        out, before, states = {}, "", [(0.0, -3, 0, [(0, first, self.root)])]
         for word in sorted(set(words)):
             same = 0
             for x, y in zip(before, word):
@@ -137,12 +171,30 @@ class PieceModel:
                     break
                 same += 1
             del states[same + 1 :]
-            for n in range(same + 1, len(word) + 1):
-                states.append(self.step(word, n, states))
-            out[word] = np.array(self.back(word, states), "<u4").tobytes()
+            state = states[same]
+            for n, c in enumerate(word[same:], same + 1):
+                states.append(state := step(c, n, state))
+            out[word] = array("I", self.back(word, states)).tobytes()
             before = word
         return out
 
+    def encode_texts(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text. Words are looked up once for all texts; the model keeps those that it has met, and forgets all when there are over MOST_WORDS."""
+        lists = split_words(texts)
+        found = lists.flatten().dictionary_encode()
+        words = found.dictionary.to_pylist()
+        if len(self.known) + len(words) > MOST_WORDS:
+            self.known.clear()
+        fresh = [w for w in words if w not in self.known]
+        new = self.encode_words([MARK + w for w in fresh])
+        self.known.update((w, new[MARK + w]) for w in fresh)
+        each = [self.known[w] for w in words]
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        of_word = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(sizes)), np.frombuffer(b"".join(each), np.int32))
+        codes = found.indices.to_numpy()
+        ends = np.append(0, np.cumsum(sizes[codes]))[lists.offsets.to_numpy()]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), of_word.take(found.indices).flatten())
+
     def decode(self, ids: Iterable[int]) -> str:
         out = bytearray()
         for i in ids:
@@ -160,34 +212,44 @@ def marked_words(text: str) -> list[str]:
     return WORD.findall((MARK + text).replace(" ", MARK)) if text else []
 
 
-def _encoded(texts: list[str], model: PieceModel, known: dict[str, bytes]) -> list[bytes]:
-    words = [marked_words(t) for t in texts]
-    fresh = {w for ws in words for w in ws if w not in known}
-    if len(known) + len(fresh) > 400_000:
-        known.clear()
-        fresh = {w for ws in words for w in ws}
-    known.update(model.encode_words(fresh))
-    return [b"".join(map(known.__getitem__, ws)) for ws in words]
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """The marked words of each text, each without its first mark; none for null and empty texts."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    plain = pc.split_pattern(texts, " ")
+    # runs of spaces, spaces at the ends and marks in the text itself
+    odd = pc.match_substring_regex(texts, f"^ |  | $|^$|{MARK}")
+    at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if not len(at):
+        return plain
+    others = pa.array([[w[1:] for w in marked_words(t)] for t in texts.take(pa.array(at)).to_pylist()], plain.type)
+    order = np.arange(len(texts))
+    order[at] = len(texts) + np.arange(len(at))
+    return pa.concat_arrays([plain, others]).take(pa.array(order))
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows, so many at a time that their texts (column 1) have about AT_ONCE bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(size // AT_ONCE)) + 1).tolist(), b.num_rows]
+    for x, y in zip(edges[:-1], edges[1:]):
+        if y > x:
+            yield b.slice(x, y - x)
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, at_once: int = 500) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of docs: id_col and ids (array of int), as the sentencepiece library gives them for the whole text.
 
     Null and empty texts have no ids; repeated rows are encoded each; a mark character in a text counts as a space; an
-    empty table gives an empty result. Rows stay where they are: a task sorts the distinct words of at_once texts that
-    it doesn't know yet, and forgets all words when it knows 400,000.
+    empty table gives an empty result. Rows stay where they are: a Python worker sorts the distinct words of about 8 MB
+    of text that it doesn't know yet.
     """
     kind = dict(docs.dtypes)[id_col]
 
     def batches(it):
-        model, known = piece_model(model_path), {}
+        model = piece_model(model_path)
         for b in it:
-            for at in range(0, b.num_rows, at_once):
-                part = b.slice(at, at_once)
-                ids = [np.frombuffer(x, "<u4") for x in _encoded([t or "" for t in part.column(1).to_pylist()], model, known)]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                values = pa.array(np.concatenate(ids).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], [id_col, "ids"])
+            for part in _slices(b):
+                yield pa.RecordBatch.from_arrays([part.column(0), model.encode_texts(part.column(1))], [id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, ids array<int>")
 
@@ -205,17 +267,17 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -> DataF
     return encoded.select(id_col, "ids").mapInArrow(batches, f"`{id_col}` {kind}, text string")
 
 
-def digests(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
-    """id_col, n_tokens, ids_crc32 (as packing has it), and the SHA-256 of the text decoded from the ids, in one pass."""
-    import hashlib
-
-    kind = dict(encoded.dtypes)[id_col]
+def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode, its result read back in the same pass: id_col, n_tokens, ids_crc32 (as packing has it), and the SHA-256 of the text decoded from the ids."""
+    kind = dict(docs.dtypes)[id_col]
 
     def batches(it):
         model = piece_model(model_path)
         for b in it:
-            ids = [np.array(x or [], "<u4") for x in b.column(1).to_pylist()]
-            sha = [hashlib.sha256((model.library.decode(x.tolist()) if len(x) else "").encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, ids), pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(sha, pa.string())], [id_col, "n_tokens", "ids_crc32", "text_sha256"])
+            for part in _slices(b):
+                lists = model.encode_texts(part.column(1))
+                ids = np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1])
+                sha = [hashlib.sha256((model.library.decode(x.tolist()) if len(x) else "").encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(sha, pa.string())], [id_col, "n_tokens", "ids_crc32", "text_sha256"])
 
-    return encoded.select(F.col(id_col), "ids").mapInArrow(batches, f"`{id_col}` {kind}, n_tokens long, ids_crc32 long, text_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, n_tokens long, ids_crc32 long, text_sha256 string")

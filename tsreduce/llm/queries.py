@@ -37,7 +37,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
-    return piece_encode.digests(piece_encode.encode(table(spark, sf_dir, "documents"), path), path)
+    return piece_encode.digests(table(spark, sf_dir, "documents"), path)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
