@@ -124,6 +124,18 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def passages_of(a, b):
+    wa, wb = substring_dedup.word_hashes([" ".join(a), " ".join(b)])
+    return substring_dedup.passages(wa, wb, [(0, len(a) - 5, 0, len(b) - 5)], 5, 50, 80)
+
+
+def test_passage_with_a_phrase_repeated_elsewhere():
+    passage, phrase, other = LONG.split()[:80], LONG.split()[36:44], [f"o{i}" for i in range(40)]
+    a, b = [*phrase, *other, *phrase, *passage, *phrase], [*other[:9], *phrase, *other[20:], *passage]
+    assert passages_of(a, b) == [(56, 80, 37, 80)]
+    assert passages_of(["x"] * 300, ["y"] + ["x"] * 200) == [(0, 200, 1, 200)]
+
+
 def test_chat_round_trip(spark):
     said = "<|im_end|><\\|im_start|> <|image|>\\ <"
     rows = [(1, 1, "user", said), (1, 2, "assistant", said), (1, 2, "assistant", None), (2, 0, None, "é"), (2, 1, "a\n\\b<|", "x")]
