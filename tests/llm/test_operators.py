@@ -126,16 +126,37 @@ def test_repeated_passages(spark):
 
 def passages_of(a, b):
     wa, wb = substring_dedup.word_hashes([" ".join(a), " ".join(b)])
-    return substring_dedup.passages(wa, wb, [(0, len(a) - 5, 0, len(b) - 5)], 5, 50, 80)
+    return substring_dedup.passages(wa, wb, 5, 50, 80)
 
 
 def test_passage_with_a_phrase_repeated_elsewhere():
     passage, phrase, other = LONG.split()[:80], LONG.split()[36:44], [f"o{i}" for i in range(40)]
-    a, b = [*phrase, *other, *phrase, *passage, *phrase], [*other[:9], *phrase, *other[20:], *passage]
+    a, b = [*phrase, *other, *phrase, *passage, *phrase], [*(w.upper() + "n" for w in other[:9]), *phrase, *(w + "n" for w in other[20:]), *passage]
     assert passages_of(a, b) == [(56, 80, 37, 80)]
     assert passages_of(["x"] * 300, ["y"] + ["x"] * 200) == [(0, 200, 1, 200)]
 
 
+@pytest.mark.parametrize("edits", [(49, 50), (40, 43), (30,), (20, 21, 22), (25, 60), (10, 11, 50, 51), (2, 48, 49), (30, 33, 36, 39, 42)])
+def test_near_passages_brute_force(edits):
+    words = LONG.split()
+    for size in (58, 75, 100):
+        for gone in (False, True):
+            a, b = words[:size], [w if k not in edits else f"e{k}" for k, w in enumerate(words[:size])]
+            if gone:
+                del b[edits[0]]
+            a, b = ["p", "q", *a, "r"], ["s", *b, "t", "u"]
+            sa, sb = [list(zip(*(w[k:] for k in range(5)))) for w in (a, b)]
+            hits = [(sa.index(x), k) for k, x in enumerate(sb) if x in sa]
+            want = set()
+            for x, y in hits:
+                for p, q in hits:
+                    if q - y >= 45 and p - x >= 45:
+                        u, v = set(sa[x : p + 1]), set(sb[y : q + 1])
+                        if 100 * len(u & v) >= 80 * len(u | v):
+                            want |= set(range(y, q + 5))
+            assert {k for _, _, y, m in passages_of(a, b) for k in range(y, y + m)} == want, (size, gone)
+
+
 def test_chat_round_trip(spark):
     said = "<|im_end|><\\|im_start|> <|image|>\\ <"
     rows = [(1, 1, "user", said), (1, 2, "assistant", said), (1, 2, "assistant", None), (2, 0, None, "é"), (2, 1, "a\n\\b<|", "x")]
