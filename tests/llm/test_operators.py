@@ -157,6 +157,20 @@ def test_near_passages_brute_force(edits):
             assert {k for _, _, y, m in passages_of(a, b) for k in range(y, y + m)} == want, (size, gone)
 
 
+def test_passage_of_two_among_boilerplate_of_many(spark):
+    rng = np.random.default_rng(2)
+    words = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]
+    common = words(45)
+    rows = [(i, words(20) + common + words(20)) for i in range(20)]
+    for k in range(40):
+        size = (50, 55, 60)[k % 3]
+        before, after = words(k % (size - 44)), words(size - 45 - k % (size - 44))
+        rows += [(100 + 2 * k + n, words(20) + before + common + after + words(20)) for n in (0, 1)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.match_id) for r in substring_dedup.repeated_passages(df).collect()}
+    assert {(101 + 2 * k, 100 + 2 * k) for k in range(40)} <= got
+
+
 def test_chat_round_trip(spark):
     said = "<|im_end|><\\|im_start|> <|image|>\\ <"
     rows = [(1, 1, "user", said), (1, 2, "assistant", said), (1, 2, "assistant", None), (2, 0, None, "é"), (2, 1, "a\n\\b<|", "x")]
