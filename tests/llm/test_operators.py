@@ -92,6 +92,17 @@ def test_ngram_join_odd_rows(docs):
     assert ngram_join.ngram_join(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent,small", [(90, 9), (90, 28), (80, 13)])
+def test_cross_pairs_of_odd_totals(spark, percent, small):
+    # sets that lie in one another, and tokens at every position
+    rows = [(pos, small + k % 2, k) for k, pos in enumerate([0, 0, 1, 1, 1, 2, 2, 3, 3, 3, 2])]
+    table = [(7, 0, pos, n, i, i, bytes([n]) + bytes(ngram_join.SKETCH - 1)) for pos, n, i in rows]
+    df = spark.createDataFrame(table, "token long, ord int, pos int, n int, rep long, comp long, sketch binary")
+    most = lambda t: t - 2 * -(-percent * t // (100 + percent))
+    want = {(i, j) for p, n, i in rows for q, m, j in rows if i < j and p + q <= most(n + m) and 100 * min(n, m) >= percent * max(n, m)}
+    assert want and {(r.a, r.b) for r in ngram_join._cross_pairs(df, percent, 1, block=2).collect()} == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (52, 51), (60, 60), (None, 1)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges, "a", "b").collect()}

@@ -23,6 +23,11 @@ def least_overlap(na: int, nb: int, percent: int) -> int:
     return -(-percent * (na + nb) // (100 + percent))
 
 
+def farthest(largest: int, percent: int) -> int:
+    """In how many tokens linked sets of at most this size can differ. It is even or odd as their total is, and grows with totals of one kind."""
+    return max(n - 2 * least_overlap(n, 0, percent) for n in (2 * largest, 2 * largest - 1))
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Any partner shares at least ceil(percent * n / 100) tokens, so one of the first of this many."""
     return n - -(-percent * n // 100) + 1
@@ -168,14 +173,13 @@ def _may_link(na, nb, pa_, pb, percent: int):
     return (pa_ + pb <= most) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
-def _cross_pairs(rows: DataFrame, percent: int, orders: int) -> DataFrame:
+def _cross_pairs(rows: DataFrame, percent: int, orders: int, block: int = 2048) -> DataFrame:
     """(a, b): pairs of sets (by rep) of different components that pass the filters under every order.
 
     rows (token, ord, pos, n, rep, comp, sketch). Rows of a token lie in order of component; a pair is built where its components
     differ and size, position and sketches allow it. Blocks of a token's rows are met one by one, never all at once.
     """
     dealt = rows.repartition("token").sortWithinPartitions("token", "comp", "pos", "rep")
-    block = 2048
 
     def pairs_of(x, y, same_block):
         na, nb = x["n"][:, None], y["n"][None, :]
@@ -198,7 +202,7 @@ def _cross_pairs(rows: DataFrame, percent: int, orders: int) -> DataFrame:
         whole = {k: v[by] for k, v in whole.items()}
         size = len(by)
         largest = int(whole["n"].max())
-        reach = 2 * largest - 2 * (-(-percent * 2 * largest // (100 + percent)))
+        reach = farthest(largest, percent)
         for i in range(0, size, block):
             x = {k: v[i : i + block] for k, v in whole.items()}
             for j in range(i, size, block):
