@@ -93,14 +93,54 @@ def test_ngram_join_odd_rows(docs):
 
 
 @pytest.mark.parametrize("percent,small", [(90, 9), (90, 28), (80, 13)])
-def test_cross_pairs_of_odd_totals(spark, percent, small):
-    # sets that lie in one another, and tokens at every position
-    rows = [(pos, small + k % 2, k) for k, pos in enumerate([0, 0, 1, 1, 1, 2, 2, 3, 3, 3, 2])]
-    table = [(7, 0, pos, n, i, i, bytes([n]) + bytes(ngram_join.SKETCH - 1)) for pos, n, i in rows]
-    df = spark.createDataFrame(table, "token long, ord int, pos int, n int, rep long, comp long, sketch binary")
+@pytest.mark.parametrize("block", [2, 3, 100])
+def test_cross_pairs_of_odd_totals(spark, percent, small, block):
+    # sets that lie in one another, tokens at every position, components of several sets, and a token of a few rows
+    rows = [(k, pos, small + k % 2, k, k if k < 8 else 0) for k, pos in enumerate([0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3])]
+    near = bytes([small]) + bytes(ngram_join.SMALL - 1)
+    table = [(7, *r, near) for r in rows] + [(8, k, 0, small, k, k, near) for k in (20, 21)]
+    df = spark.createDataFrame(table, "token long, k long, pos int, n int, rep long, comp long, small binary")
     most = lambda t: t - 2 * -(-percent * t // (100 + percent))
-    want = {(i, j) for p, n, i in rows for q, m, j in rows if i < j and p + q <= most(n + m) and 100 * min(n, m) >= percent * max(n, m)}
-    assert want and {(r.a, r.b) for r in ngram_join._cross_pairs(df, percent, 1, block=2).collect()} == want
+    want = {(i, j) for _, p, n, i, c in rows for _, q, m, j, d in rows if i < j and c != d and p + q <= most(n + m) and 100 * min(n, m) >= percent * max(n, m)}
+    assert want and {(r.a, r.b) for r in ngram_join._cross_pairs(df, percent, block).collect()} == want | {(20, 21)}
+
+
+def test_prefixes_of_linked_sets_meet_under_every_order():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n, percent = int(rng.integers(1, 60)), int(rng.choice([80, 90]))
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        y = x.copy()
+        y[rng.integers(0, n, int(rng.integers(0, 4)))] = np.uint64(rng.integers(0, 2**63))
+        y = np.unique(y)
+        both = len(np.intersect1d(x, y))
+        if 100 * both < percent * (len(x) + len(y) - both):
+            continue
+        parts = []
+        for s in (x, y):
+            p = ngram_join.prefix_length(len(s), percent)
+            parts.append(b"".join((ngram_join.mix(np.sort(ngram_join.mix(s, o)), 9) >> np.uint64(32))[:p].astype("<u4").tobytes() for o in (1, 2)))
+        assert ngram_join.shares_prefix(*parts, len(x), len(y), percent, 2)
+        assert ngram_join.sketch_distance(*(np.frombuffer(ngram_join.sketch(s), np.uint8)[None] for s in (x, y)))[0] <= ngram_join.most_apart(len(x) + len(y), percent)
+
+
+def test_ngram_join_rows_of_one_id(spark):
+    a, b = LONG, LONG.upper().replace("W", "v")
+    rows = [(1, a), (1, b), (2, b + " t"), (3, a + " t"), (4, "x " + LONG[60:]), (1, a)]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+@pytest.mark.parametrize("block", [2, 5])
+def test_ngram_join_of_hot_tokens(spark, block):
+    # all texts share a start; one group of near copies, two pairs, and others
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"y{x}" for x in rng.integers(0, 10**6, n)]
+    start, base, pairs = words(40), words(200), [words(200), words(200)]
+    texts = [start + base[:k] + ["z"] + base[k + 1 :] for k in range(30)] + [start + p[:k] + ["z"] + p[k + 1 :] for p in pairs for k in (3, 90)] + [start + words(200) for _ in range(10)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert got == {i: 0 if i < 30 else i - i % 2 if i < 34 else i for i in got}
 
 
 def test_components(spark):
