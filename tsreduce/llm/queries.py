@@ -81,7 +81,7 @@ def op7_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("bucket", "chain")
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("bucket", "depth", "chain")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
