@@ -30,13 +30,44 @@ def test_oracle(spark, sf, name):
 
 
 def test_exact_dedup_chains(docs):
-    weak = exact_dedup.exact_dedup(docs, hash_key=lambda t: F.length(t).cast("long"), bucket_rows=2, max_depth=4).collect()
-    strong = exact_dedup.exact_dedup(docs).collect()
     key = lambda rows: sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in rows)
-    assert key(weak) == key(strong) and len(weak) == docs.count()
-    assert max(r.chain for r in weak) > 1
+    strong = exact_dedup.exact_dedup(docs).collect()
+    # keys of one slot, and keys that spread over all of them
+    for weak in (lambda t: F.length(t).cast("long"), lambda t: F.xxhash64(F.length(t) % 3)):
+        rows = exact_dedup.exact_dedup(docs, hash_key=weak, bucket_rows=2, max_depth=4).collect()
+        assert key(rows) == key(strong) and len(rows) == docs.count()
+        assert max(r.chain for r in rows) > 1
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
     assert exact_dedup.drop_copies(docs).columns == docs.columns
+    by_text = {}
+    for i, t in texts_of(docs):
+        by_text.setdefault(t or "", []).append(i)
+    kept = sorted((str(r.doc_id), r.text or "") for r in exact_dedup.drop_copies(docs).select("doc_id", "text").collect())
+    top = {t: max((i for i in ids if i is not None), default=None) for t, ids in by_text.items()}
+    assert kept == sorted((str(i), t) for t, ids in by_text.items() for i in ids if i == top[t])
+
+
+def test_exact_index_splits(spark):
+    """Buckets against a plain extendible-hash table: depths, entries and key ranges."""
+    rows = spark.range(1000).selectExpr("id AS doc_id", "concat('text ', id % 700) AS text")
+    index, found, collide = exact_dedup.build_index(rows, "doc_id", "text", bucket_rows=50, max_depth=8)
+    entries = index.collect()
+    keys = [r.key % 2**64 >> 56 for r in entries]
+    assert not collide and len(entries) == 700
+
+    def split(slots, depth, prefix):
+        if len(slots) <= 50 or depth == 8:
+            return {s: (1 << depth | prefix, depth) for s in slots}
+        halves = [[s for s in slots if s >> (7 - depth) & 1 == bit] for bit in (0, 1)]
+        return split(halves[0], depth + 1, prefix * 2) | split(halves[1], depth + 1, prefix * 2 + 1)
+
+    want = split(keys, 0, 0)
+    assert {r.slot: (r.bucket, r.depth) for r in found.collect()} == want
+    assert len({b for b, _ in want.values()}) > 8 and {r.depth for r in entries} >= {4}
+    assert all((r.bucket, r.depth) == want[r.slot] for r in entries)
+    # at the largest depth a bucket goes on beyond its limit
+    shallow, _, _ = exact_dedup.build_index(rows, "doc_id", "text", bucket_rows=50, max_depth=2)
+    assert {r.depth for r in shallow.collect()} == {2}
 
 
 def test_quality_counts():
@@ -278,10 +309,63 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
-def test_neighbours_share_terms():
-    shard = packing.Shard([np.array(d, np.uint32) for d in ([1, 2, 3, 0], [7, 8, 9, 0], [2, 3, 4, 0], [5, 0])])
-    shard.unused[0] = False
-    assert shard.neighbour(0) == 2
+def bm25(seed, doc, corpus):
+    """Plainly: of the seed's different terms, what each adds for doc."""
+    total, d = 0.0, doc[:-1].tolist()
+    for t in set(seed[:-1].tolist()):
+        if tf := d.count(t):
+            idf = np.log(1 + (corpus.documents - corpus.df[t] + 0.5) / (corpus.df[t] + 0.5))
+            total += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(doc) / corpus.mean_length))
+    return total
+
+
+def plain_pack(docs, corpus, window):
+    """(document, sequence) in order: the window's seed is asked until the window is full."""
+    unused, out, used, sequence, seed = list(range(len(docs))), [], 0, 0, None
+    while unused:
+        best = max(unused, key=lambda d: (round(bm25(docs[seed], docs[d], corpus), 4), -d)) if seed is not None else unused[0]
+        if seed is not None and bm25(docs[seed], docs[best], corpus) <= 0:
+            best = unused[0]
+        unused.remove(best)
+        left, began = len(docs[best]), used == 0
+        while left:
+            n = min(left, window - used)
+            out.append((best, sequence))
+            left, used = left - n, used + n
+            if used == window:
+                sequence, used, began = sequence + 1, 0, True
+        if began:
+            seed = best if used else None
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    # skewed terms: some in nearly all documents, some in few
+    docs = [np.array([*np.minimum(rng.geometric(0.05, int(rng.integers(0, 40))), 90), 0], np.uint16) for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(d[:-1]) for d in docs]).astype(int), minlength=100) + 3
+    corpus = packing.Corpus(200, 23.0, df)
+    want = np.array([[0 if i == j else bm25(a, b, corpus) for j, b in enumerate(docs)] for i, a in enumerate(docs)])
+    assert np.allclose(packing.scores(docs, corpus), want, atol=1e-3)
+    assert [(p[0], p[5]) for p in packing.Packer(64, 0).pack(docs, corpus)] == plain_pack(docs, corpus, 64)
+
+
+def test_a_seed_stays_until_its_window_is_full():
+    docs = [np.array([*d, 0], np.uint16) for d in ([1, 2, 3, 4], [3, 4, 5, 6], [7, 8, 9], [1, 2, 7, 8, 9])]
+    corpus = packing.Corpus(4, 5.0, np.array([0, 2, 2, 2, 2, 1, 1, 2, 2, 2]))
+    placed = [p[0] for p in packing.Packer(100, 0).pack(docs, corpus)]
+    assert placed == [0, 1, 3, 2]
+
+
+def test_corpus_counts_all_tasks(docs):
+    path = Q.tokenizer_path("byte_bpe_50k.json")
+    made = packing.tokenized(docs.repartition(3), path, "doc_id", "text", 0)
+    b = tokens.byte_bpe(path)
+    corpus = packing.corpus_of(made.where("token IS NOT NULL").select("token", "n"), b.size)
+    ids = [np.frombuffer(b.encode(t or ""), "<u4") for _, t in texts_of(docs)]
+    assert corpus.documents == len(ids) and corpus.mean_length == pytest.approx(np.mean([len(x) + 1 for x in ids]))
+    assert (corpus.df == np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=b.size)).all()
 
 
 def test_pieces_match_the_library(docs):
@@ -322,6 +406,10 @@ def test_bulk_ids_match_tokenizers(docs):
     t.encode_special_tokens = True
     for _, x in texts_of(docs):
         assert b.encode(x or "") == np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes()
+    odd = ["", None, "a b", " a b", "a  b", "a b ", "x\ny z", "x \ny", "x\n y", "x\n\ny", "a\tb c", "a\u00a0b c", "a\u2003 b", "a\u001cb", "a\u0085b", "it's <|endoftext|> 12 b!", "é 日本 c", "a b"]
+    for part in (odd, odd[::-1], odd[2:3], odd[:2], [], odd[2:3] * 3 + odd[3:5] + odd[2:3]):
+        ids, ends = b.encode_texts(pa.array(part, pa.string()))
+        assert [ids[x:y].tolist() for x, y in zip(ends[:-1], ends[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in part]
 
 
 def test_license_scan(spark):

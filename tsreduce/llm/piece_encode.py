@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tsreduce.llm.tokens import slices
+
 MARK = "▁"
 #: No piece has a mark behind another character, so no piece reaches from one marked word into the next.
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -227,15 +229,6 @@ def split_words(texts: pa.Array) -> pa.ListArray:
     return pa.concat_arrays([plain, others]).take(pa.array(order))
 
 
-def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows, so many at a time that their texts (column 1) have about AT_ONCE bytes."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
-    edges = [0, *(np.flatnonzero(np.diff(size // AT_ONCE)) + 1).tolist(), b.num_rows]
-    for x, y in zip(edges[:-1], edges[1:]):
-        if y > x:
-            yield b.slice(x, y - x)
-
-
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of docs: id_col and ids (array of int), as the sentencepiece library gives them for the whole text.
 
@@ -248,7 +241,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def batches(it):
         model = piece_model(model_path)
         for b in it:
-            for part in _slices(b):
+            for part in slices(b, AT_ONCE):
                 yield pa.RecordBatch.from_arrays([part.column(0), model.encode_texts(part.column(1))], [id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, ids array<int>")
@@ -274,7 +267,7 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def batches(it):
         model = piece_model(model_path)
         for b in it:
-            for part in _slices(b):
+            for part in slices(b, AT_ONCE):
                 lists = model.encode_texts(part.column(1))
                 ids = np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1])
                 sha = [hashlib.sha256((model.library.decode(x.tolist()) if len(x) else "").encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
