@@ -128,9 +128,10 @@ counted AS (
   FROM d LEFT JOIN repeated USING (r) LEFT JOIN lines USING (r)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
 hosts AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS f FROM judged WHERE host IS NOT NULL GROUP BY host),
-moments AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) AS q FROM hosts),
-prior AS (SELECT m, CASE WHEN q - m * m > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / (q - m * m) - 1)) ELSE 1e6 END AS s FROM moments),
-rates AS (SELECT host, (f + m * s) / (n + s) > 0.5 AS rejected FROM hosts, prior)
+moments AS (SELECT count(*) AS h, sum(n) AS rows_, sum(f) / sum(n) AS m, sum(f * f / n) AS q, sum(n * n) AS nn FROM hosts),
+shares AS (SELECT m, ((q - rows_ * m * m) / nullif(m * (1 - m), 0) - (h - 1)) / nullif(rows_ - nn / rows_ - (h - 1), 0) AS r FROM moments),
+prior AS (SELECT m, CASE WHEN r > 0 THEN least(1e6, greatest(1.0, 1 / r - 1)) ELSE 1e6 END AS s, greatest(0.25, least(3.0 * m, (1 + m) / 2)) AS most FROM shares),
+rates AS (SELECT host, (f + m * s) / (n + s) > most AS rejected FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(rejected, false) AS kept, coalesce(rejected, false) AS host_rejected
 FROM judged LEFT JOIN rates USING (host)"""
