@@ -1,3 +1,4 @@
+import textwrap
 import zlib
 
 import numpy as np
@@ -78,10 +79,35 @@ def test_quality_counts():
 
 
 def test_host_is_rejected(spark):
-    rows = [(i, "bad" if i < 40 else "a b c d e f g h i j k " + str(i), "spam" if i < 45 else "fine") for i in range(100)]
-    out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert not out[44].base_failed and out[44].host_rejected and not out[44].kept
-    assert out[99].kept and not out[99].host_rejected
+    good = "a b c d e f g h i j k "
+    rows = [(i, "bad" if i < 40 else good + str(i), "spam" if i < 45 else "fine") for i in range(100)]
+    # a host that fails in 40 of 100 documents among nine that fail in 5; one bad document of a small host tells little
+    rows += [(1000 * h + i, "bad" if i < (40 if h == 9 else 5) else good + str(i), f"h{h}") for h in range(1, 10) for i in range(100)]
+    rows += [(20000, "bad", "small"), (20001, good, "small"), (20002, good, None), (20003, None, None), (20002, good, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, source string, host string, n long")
+    out = quality_rules.quality_rules(df).collect()
+    assert len(out) == len(rows)
+    got = {r.doc_id: r for r in out}
+    assert not got[44].base_failed and got[44].host_rejected and not got[44].kept
+    assert got[9099].host_rejected and not got[9099].kept
+    assert got[99].kept and got[8099].kept and got[20001].kept and got[20002].kept and not got[20003].kept
+    kept = quality_rules.drop_rejected(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in out if r.kept)
+    assert quality_rules.quality_rules(df.limit(0)).count() == 0 and quality_rules.drop_rejected(df.limit(0)).count() == 0
+
+
+def test_quality_odd_rows(docs):
+    out = quality_rules.quality_rules(docs).collect()
+    assert len(out) == docs.count() and all(r.base_failed for r in out if r.n_words == 0)
+    assert {r.n_words for r in out if r.doc_id == 7} == {3000}
+
+
+def test_rates_net_of_sampling(spark):
+    # hosts that differ by chance alone are shrunk all the way
+    rng = np.random.default_rng(0)
+    rows = [(f"h{h}", bool(x)) for h in range(40) for x in rng.random(50) < 0.2]
+    rates = [r.host_rate for r in quality_rules.host_rates(spark.createDataFrame(rows, "host string, base_failed boolean")).collect()]
+    assert max(rates) - min(rates) < 0.1
 
 
 def shingle_set(text, width):
@@ -286,6 +312,60 @@ def test_url_aliases(spark):
     assert allowed[7] == allowed[8] == "allow"
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_url_aliases_of_random_graphs(spark, seed):
+    """Verdicts against a union-find over redirects and links; explicit allow goes before block in a class."""
+    rng = np.random.default_rng(seed)
+    hosts = ["a.com", "b.net", "example.com", "c.org", "d.test", "e.test"]
+    urls = [f"http://{hosts[rng.integers(6)]}/{('en', 'de', 'es', 'x')[rng.integers(4)]}/{k}" for k in range(80)] + ["http://example.com/en/7", "http://example.com/en/70"]
+    pick = lambda: urls[rng.integers(len(urls))]
+    links = [(urls[i], pick(), rng.integers(3)) for i in rng.choice(len(urls), 45, replace=False)]
+    html = {u: f'<link rel="canonical" href="{v}">' if kind == 0 else f'<meta http-equiv="refresh" content="1; url={v}">' for u, v, kind in links if kind < 2}
+    redirects = [(u, v) for u, v, kind in links if kind == 2] + [(None, urls[0]), (urls[1], None), (urls[2], urls[2])]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    name = lambda u: u.split("://")[1]
+    for u, v in [(u, v) for u, v, _ in links]:
+        parent[root(name(u))] = root(name(v))
+
+    def own(u):
+        host, path = name(u).split("/", 1)
+        fits = [(len(r.name), r.verdict) for r in Q.URL_RULES if (host == r.host or host.endswith("." + r.host)) and ("/" + path).startswith(r.path)]
+        return max(fits)[1] if fits else None
+
+    members = {}
+    for x in list(parent):
+        members.setdefault(root(x), []).append(own("http://" + x))
+
+    def verdict(u):
+        said = members.get(root(name(u)), [])
+        return own(u) or ("block" if "block" in said and "allow" not in said else "allow")
+
+    rows = [(k, u, html.get(u), u, "n", "c") for k, u in enumerate(urls)] + [(0, urls[0], html.get(urls[0]), "", "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, node string, component string")
+    edges = spark.createDataFrame(redirects, "source_url string, target_url string")
+    got = [(r.page_id, r.verdict) for r in url_filter.filter_urls(pages, Q.URL_RULES, edges).collect()]
+    assert sorted(got) == sorted([(k, verdict(u)) for k, u in enumerate(urls)] + [(0, verdict(urls[0]))])
+    assert {"block", "allow"} == {v for _, v in got} and any(own(u) is None and verdict(u) == "block" for u in urls)
+    assert url_filter.filter_urls(pages.limit(0), Q.URL_RULES, edges.limit(0)).count() == 0
+
+
+def test_empty_long_and_clashing(spark, docs):
+    records = spark.createDataFrame([], "record_id long, url string, at long, kind string, headers map<string,string>, payload string")
+    assert warc_revisit.resolve_revisits(records).count() == 0
+    turns = spark.createDataFrame([(1, k, "user", "<|x|>" * 20_000, 7, "f") for k in range(3)], "conv_id long, turn long, role string, text string, n_turns long, formatted string")
+    (row,) = chat_format.read_back(chat_format.format_turns(turns)).collect()
+    assert row.n_turns == 3
+    found = substring_dedup.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.match_id, r.n_words) for r in found} >= {(10, 9, 120), (11, 9, 120)}
+    assert substring_dedup.drop_passages(docs).columns == docs.columns
+
+
 def test_packing(docs):
     path = Q.tokenizer_path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
@@ -377,6 +457,19 @@ def test_pieces_match_the_library(docs):
     assert sorted(str((r.doc_id, r.text)) for r in back) == sorted(str((i, t or "")) for i, t in texts_of(docs))
 
 
+def test_decoding_matches_the_library(spark, docs):
+    path = Q.tokenizer_path("piece_bpe_32k.model")
+    model, rng = piece_encode.piece_model(path), np.random.default_rng(0)
+    lists = [model.library.encode(t or "") for _, t in texts_of(docs)] + [[int(x) for x in rng.integers(3, 32000, int(rng.integers(0, 12)))] for _ in range(300)] + [[0xE9 + 3], [0xC3 + 3, 0xA9 + 3], []]
+    got = model.decode_lists(pa.array(lists, pa.list_(pa.int32())))
+    assert [x.decode() for x in got] == [model.library.decode(x) if x else "" for x in lists]
+    assert model.decode_lists(pa.array([[], None, lists[5]], pa.list_(pa.int32())).slice(1)) == [None, got[5]]
+    df = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert sorted((r.doc_id, r.text) for r in piece_encode.decode(df, path).collect()) == [(1, None), (2, "")]
+    empty = docs.limit(0)
+    assert piece_encode.encode(empty, path).count() == piece_encode.digests(empty, path).count() == piece_encode.decode(piece_encode.encode(empty, path), path).count() == 0
+
+
 def test_odd_spaces_and_marks_match_the_library():
     model = piece_encode.PieceModel(Q.tokenizer_path("piece_bpe_32k.model"))
     texts = ["a b", " a  b ", "   ", "", None, "x▁y ▁", "the \n  end", "🙂🙂 日本 é!?$$$ 0641917ea", " ", "a" * 300]
@@ -413,9 +506,66 @@ def test_bulk_ids_match_tokenizers(docs):
 
 
 def test_license_scan(spark):
-    rows = [(1, "prose\nReleased under the MIT License.\nmore prose"), (2, "This work is licensed under the GNU General Public License, version 2."), (3, "He lost his driving licence in the storm."), (4, None), (5, ""), (6, "Licensed under the Apache License, Version 2.0, as of today.")]
-    got = {(r.doc_id, r.license, r.exact) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, "MIT", True), (2, "GPL-2.0", True), (6, "Apache-2.0", True)}
+    mit = [w for i, w in license_scan.WORDINGS if i == "MIT"][1]
+    wrapped = "/*\n" + "\n".join(" * " + line for line in textwrap.wrap(mit, 60)) + "\n */"
+    gpl = license_scan._gnu("General Public License", "3").replace(". ", ".\n#\n# ")
+    rows = [
+        (1, "prose\nReleased under the MIT License.\nmore prose"), (2, "This work is licensed under the GNU General Public License, version 2."), (3, "He lost his driving licence in the storm."), (4, None), (5, ""),
+        (6, "Licensed under the Apache License, Version 2.0, as of today."), (7, wrapped), (8, "Released under the MIT License. Also dual. Licensed under the Apache License, Version 2.0."),
+        (9, "Released under the MIT License. " + "word " * 60 + "Licensed under CC BY 4.0. end"), (10, gpl), (11, "// SPDX-License-Identifier: MIT"), (12, "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        (13, "Licensed under CC BY-XX 4.0."), (14, mit.replace("merge, publish", "publish") + " tail"), (15, "license " * 3000), (15, "license " * 3000), (1, "Released under the MIT License."),
+    ]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, start long, license string")
+    found = license_scan.license_scan(df).collect()
+    got = sorted((r.doc_id, r.license, r.exact) for r in found)
+    assert got == [(1, "MIT", True), (1, "MIT", True), (2, "GPL-2.0", True), (6, "Apache-2.0", True), (7, "MIT", True), (8, "Apache-2.0", True), (8, "MIT", True), (9, "CC-BY-4.0", True), (9, "MIT", True), (10, "GPL-3.0", True), (11, "MIT", True), (12, "CC-BY-4.0", True), (14, "MIT", False)]
+    (edited,) = [r for r in found if r.doc_id == 14]
+    assert edited.missing == ["merge"] and edited.extra == []
+    assert {rows[0][1][r.start : r.end] for r in found if r.doc_id == 1 and r.start} == {"Released under the MIT License"}
+    assert license_scan.license_scan(df.limit(0)).count() == 0
+
+
+def test_license_scan_brute_force():
+    """All templates at all places of all texts, with words left out and put in, against what the blocks give."""
+    rng = np.random.default_rng(8)
+    some = [t for k, t in enumerate(license_scan.TEMPLATES) if k % 7 == 0 or len(license_scan.words(t[1])) > 60]
+    scanner = license_scan.Scanner(some, 3)
+    for _ in range(60):
+        parts = []
+        for _ in range(int(rng.integers(1, 5))):
+            w = some[rng.integers(len(some))][1].split()
+            for _ in range(int(rng.integers(0, 4))):
+                at = int(rng.integers(0, len(w)))
+                w[at : at + int(rng.integers(0, 2))] = ["inserted"] * int(rng.integers(0, 2))
+            parts += w + [f"prose{x}" for x in rng.integers(0, 9, int(rng.integers(0, 30)))]
+        text = " ".join(parts)
+        have = license_scan.words(text)
+        every = []
+        for i, want in enumerate(scanner.wording):
+            most = min(3, len(want) // 8)
+            for at in range(len(have)):
+                # the fewest differences of want and a stretch that begins at `at`, by dynamic programming
+                best = {(0, 0, 0): at}
+                for k, w in enumerate(want):
+                    step = {}
+                    for (m, x, _), j in sorted(best.items()):
+                        for skip in range(most - x + 1):
+                            if j + skip < len(have) and have[j + skip] == w and (skip == 0 or k):
+                                key = (m, x + skip, j + skip + 1)
+                                step.setdefault(key, j + skip + 1)
+                        if m < most:
+                            step.setdefault((m + 1, x, j), j)
+                    best = step
+                first = [(m + x, j, m, x) for (m, x, j) in best]
+                if first and have[at] in want[: most + 1]:
+                    d, j, m, x = min(first)
+                    every.append((d, len(want), at, j, i, m))
+        found = [f for _, _, f in scanner.scan(text)]
+        for f in found:
+            assert (len(f.missing) + len(f.extra), f.first, f.end, f.template) in {(d, at, j, i) for d, _, at, j, i, _ in every}
+        # whatever else fits shares words with one that fits no worse
+        for d, n, at, j, i, m in every:
+            assert any(f.first < j and at < f.end for f in found), (some[i], text)
 
 
 def test_revisits(spark):
