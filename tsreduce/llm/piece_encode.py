@@ -98,6 +98,7 @@ class PieceModel:
                 node = node.setdefault(c, {})
             node[""] = i
         self.known: dict[str, bytes] = {}
+        self.piece_bytes = pa.array([bytes([self.of_byte[i]]) if i in self.of_byte else self.pieces.get(i, "").replace(MARK, " ").encode("utf-8", "surrogatepass") for i in range(len(sp))], pa.binary())
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves: of neighbours whose union is a piece, the one of the highest score, leftmost first."""
@@ -197,12 +198,20 @@ class PieceModel:
         ends = np.append(0, np.cumsum(sizes[codes]))[lists.offsets.to_numpy()]
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), of_word.take(found.indices).flatten())
 
-    def decode(self, ids: Iterable[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            out += bytes([self.of_byte[i]]) if i in self.of_byte else self.pieces.get(i, "").replace(MARK, " ").encode("utf-8", "surrogatepass")
-        text = out.decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+    def decode_lists(self, lists: pa.ListArray) -> list[bytes | None]:
+        """The text of each list of ids in UTF-8: its pieces side by side, marks as spaces but for the one that begins it. What is no UTF-8 becomes U+FFFD; null stays null."""
+        taken = pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py()), self.piece_bytes.take(lists.flatten())) if len(lists) else pa.array([], pa.list_(pa.binary()))
+        joined = pc.binary_join(taken, b"").to_pylist()
+        null = lists.is_null().to_pylist()
+        return [None if n else (x[1:] if x[:1] == b" " else x) if x.isascii() else _valid(x[1:] if x[:1] == b" " else x) for x, n in zip(joined, null)]
+
+
+def _valid(x: bytes) -> bytes:
+    try:
+        x.decode("utf-8")
+        return x
+    except UnicodeDecodeError:
+        return x.decode("utf-8", "replace").encode("utf-8")
 
 
 @lru_cache(maxsize=2)
@@ -254,8 +263,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -> DataF
     def batches(it):
         model = piece_model(model_path)
         for b in it:
-            texts = [model.library.decode(i) if i else i if i is None else "" for i in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.decode_lists(b.column(1)), pa.binary()).cast(pa.string())], [id_col, "text"])
 
     return encoded.select(id_col, "ids").mapInArrow(batches, f"`{id_col}` {kind}, text string")
 
@@ -270,7 +278,7 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             for part in slices(b, AT_ONCE):
                 lists = model.encode_texts(part.column(1))
                 ids = np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1])
-                sha = [hashlib.sha256((model.library.decode(x.tolist()) if len(x) else "").encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
+                sha = [hashlib.sha256(x).hexdigest() for x in model.decode_lists(lists)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(sha, pa.string())], [id_col, "n_tokens", "ids_crc32", "text_sha256"])
 
     return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, n_tokens long, ids_crc32 long, text_sha256 string")
