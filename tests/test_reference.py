@@ -12,7 +12,7 @@ from tsreduce.functions.projections import descend, onto_orthant, onto_simplex
 from tsreduce.operators import clustering, reshape, weights
 from tsreduce.operators.views import Catalog
 from tsreduce.plans import lp
-from tsreduce.plans.experiment import Experiment, evaluation, run_experiment
+from tsreduce.plans.experiment import Experiment, run_experiment, run_grid
 from tsreduce.plans.solver import Matrix, solve, solve_arrays
 from tsreduce.sources import tables as T
 
@@ -71,6 +71,7 @@ def test_period_weights_and_methods():
     assert clustering.method_for("k_means", "conical") == "k_means"
     with pytest.raises(ValueError):
         metrics.parse("other")
+    assert [metrics.show(n) for n in ("manhattan", "cityblock", "cosine", "other")] == ["cityblock", "cityblock", "cosine", "other"]
 
 
 def test_projections_known():
@@ -119,6 +120,96 @@ def test_representatives(profile, method, distance):
         assert len({tuple(r) for r in found.rp_matrix}) == 3
 
 
+def plain_representatives(x, k, method, metric):
+    """The rows that are found, by plain loops over all of them."""
+    apart = {"euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum()), "cosine": lambda a, b: 1 - a @ b / np.sqrt((a @ a) * (b @ b))}[metric]
+    n = len(x)
+    if method in ("k_means", "k_medoids"):
+        d = np.array([[((a - b) ** 2).sum() if method == "k_means" else apart(a, b) for b in x] for a in x])
+        seeds = sorted(range(n), key=lambda j: (sum(d[i, j] / d[i].sum() for i in range(n)), j))[:k]
+        centres = [x[j].copy() for j in seeds]
+        for _ in range(200):
+            own = [min(range(k), key=lambda c: (apart(a, centres[c]), c)) for a in x]
+            after = []
+            for c in range(k):
+                members = [i for i in range(n) if own[i] == c]
+                if method == "k_means":
+                    after.append(x[members].mean(0) if members else centres[c])
+                else:
+                    after.append(x[min(members, key=lambda j: (sum(d[i, j] for i in members), j))] if members else centres[c])
+            if all(np.allclose(a, b) for a, b in zip(after, centres)):
+                break
+            centres = after
+        return np.array(centres)
+    mean = x.mean(0)
+    points, known = x, [np.zeros(x.shape[1])] if method == "convex_hull_with_null" and metric != "cosine" else []
+    if method == "conical_hull":
+        mean = mean / np.sqrt(mean @ mean)
+        points, metric, apart = np.array([a / (a @ mean) for a in x]), "euclidean", lambda a, b: np.sqrt(((a - b) ** 2).sum())
+    chosen = []
+    if not known:
+        chosen.append(max(range(n), key=lambda i: (apart(points[i], mean), -i)))
+    far = [np.inf] * n
+    while len(chosen) < k:
+        hull = np.array(known + [points[i] for i in chosen])
+        for i in range(n):
+            # a period's distance is measured anew only if the last point is nearer than it
+            if i not in chosen and apart(hull[-1], points[i]) < far[i]:
+                w = onto_simplex(np.linalg.pinv(hull.T) @ points[i])
+                for _ in range(1000):
+                    after = onto_simplex(w - 1e-3 * (hull @ (hull.T @ w - points[i])))
+                    if (after - w).max() <= 1e-5 / 1000:
+                        break
+                    w = after
+                far[i] = apart(hull.T @ w, points[i])
+        chosen.append(max((i for i in range(n) if i not in chosen), key=lambda i: (far[i], -i)))
+    return x[chosen]
+
+
+@pytest.mark.parametrize("method", ["k_means", "k_medoids", "convex_hull", "convex_hull_with_null", "conical_hull"])
+@pytest.mark.parametrize("distance", ["euclidean", "cosine"])
+def test_representatives_against_plain_loops(profile, method, distance):
+    found = clustering.find_representative_periods(profile, 4, method=method, distance=distance)
+    _, x = clustering.matrix(found.features)
+    assert np.allclose(found.rp_matrix, plain_representatives(x, 4, method, distance))
+
+
+@pytest.mark.parametrize("kind", ["convex", "conical", "conical_bounded"])
+def test_fitted_weights_against_plain_loops(profile, kind):
+    found = clustering.find_representative_periods(profile, 3, method=clustering.method_for("hull", kind))
+    periods, x = clustering.matrix(found.features)
+    reps, project = found.rp_matrix, onto_orthant if kind == "conical" else onto_simplex
+    points = np.vstack([np.zeros(reps.shape[1]), reps]) if kind == "conical_bounded" else reps
+    given_ = {p: np.zeros(3) for p in periods}
+    for r in found.weights.collect():
+        given_[r["period"]][r["rep_period"] - 1] = r["weight"]
+    starts = []
+    for p, t in zip(periods, x):
+        g = np.concatenate([[0.0], given_[p]]) if kind == "conical_bounded" else given_[p]
+        starts.append((project(g), project(np.linalg.pinv(points.T) @ t)))
+    totals = [sum(((points.T @ s[k] - t) ** 2).sum() for s, t in zip(starts, x)) for k in (0, 1)]
+    want = {}
+    for p, t, s in zip(periods, x, starts):
+        start = s[0] if totals[0] <= totals[1] else s[1]
+        before = np.linalg.norm(points.T @ project(start) - t)
+        if before <= 1e-2:
+            w = given_[p]
+        else:
+            w = project(start)
+            for _ in range(1000):
+                after = project(w - 1e-3 * (points @ (points.T @ w - t)))
+                if (after - w).max() <= 1e-4 / 1000:
+                    break
+                w = after
+            w = start if np.linalg.norm(points.T @ w - t) > before else w
+            w = np.where(w < 1e-2, 0, w)
+            w = w / w.sum() if kind == "convex" or kind == "conical_bounded" and w.sum() > 1 else w
+            w = w[1:] if kind == "conical_bounded" else w
+        want |= {(p, k + 1): v for k, v in enumerate(w) if v}
+    got_ = {(r["period"], r["rep_period"]): r["weight"] for r in weights.fit_weights(found, kind).collect()}
+    assert got_.keys() == want.keys() and all(got_[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
 def test_incomplete_last_period(profile):
     cut = profile.where("period < 12 OR timestep <= 2")
     kept = clustering.find_representative_periods(cut, 3)
@@ -148,8 +239,31 @@ def test_fitted_weights(profile, kind):
 def test_solver_dispatch():
     # two plants of costs 1 and 3 and at most 4 each meet a demand of 6
     m = Matrix(np.array([0, 0]), np.array([0, 1]), np.array([1.0, 1.0]), (1, 2))
-    x, gap, status = solve_arrays(m, np.array([True]), np.array([6.0]), np.array([1.0, 3.0]), np.zeros(2), np.full(2, 4.0), tol=1e-6)
+    x, gap, status, _ = solve_arrays(m, np.array([True]), np.array([6.0]), np.array([1.0, 3.0]), np.zeros(2), np.full(2, 4.0), tol=1e-6)
     assert status == "OPTIMAL" and np.allclose(x, [4, 2], atol=1e-3)
+    # more than both can give; a row that isn't part of it gets no multiplier
+    m = Matrix(np.array([0, 0, 1]), np.array([0, 1, 0]), np.array([1.0, 1.0, 1.0]), (2, 2))
+    _, _, status, y = solve_arrays(m, np.array([True, False]), np.array([9.0, 4.0]), np.array([1.0, 3.0]), np.zeros(2), np.full(2, 4.0))
+    assert status == "INFEASIBLE" and abs(y[0]) > 0 and y[1] == 0
+    # two rows that contradict each other without bounds
+    m = Matrix(np.array([0, 1]), np.array([0, 0]), np.array([1.0, -1.0]), (2, 1))
+    assert solve_arrays(m, np.array([False, False]), np.array([1.0, -2.0]), np.zeros(1), np.full(1, -np.inf), np.full(1, np.inf))[2] == "INFEASIBLE"
+    # what costs less the more of it there is
+    m = Matrix(np.array([0, 0]), np.array([0, 1]), np.array([1.0, -1.0]), (1, 2))
+    assert solve_arrays(m, np.array([False]), np.array([1.0]), np.array([-1.0, 0.0]), np.zeros(2), np.full(2, np.inf))[2] == "UNBOUNDED"
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10**6))
+def test_solver_finds_no_false_proof(seed):
+    rng = np.random.default_rng(seed)
+    a = rng.integers(-3, 4, (4, 6)).astype(float)
+    row, col = np.nonzero(a)
+    inside = rng.random(6) * 4  # meets all rows
+    equal = np.array([True, False, False, False])
+    rhs = a @ inside + np.where(equal, 0, rng.random(4))
+    _, _, status, _ = solve_arrays(Matrix(row, col, a[row, col], (4, 6)), equal, rhs, rng.random(6), np.zeros(6), np.full(6, 5.0))
+    assert status == "OPTIMAL"
 
 
 @pytest.fixture(scope="module")
@@ -187,12 +301,81 @@ def test_experiment(spark, small, kind, tmp_path):
     assert result.objective_value == pytest.approx(0.2 * 5 + 4 * (4 + 6 + 3), rel=1e-3)
     if kind != "none":
         assert result.evaluated_objective_value == pytest.approx(result.objective_value, rel=1e-3)
-    T.save_result(result, spark, str(tmp_path / "results"), 0.1)
-    T.save_variable(solution.variables, "invested_units", ["id"], str(tmp_path / "invested"), 1)
-    T.save_variable(solution.variables, "nothing", ["id"], str(tmp_path / "nothing"), 1)
-    assert spark.read.option("header", True).csv(str(tmp_path / "results")).count() == 1
-    assert spark.read.option("header", True).csv(str(tmp_path / "invested")).first()["id"] == "dear"
-    assert not (tmp_path / "nothing").exists()
+    for seed in (1, 2):
+        T.save_result(result, spark, str(tmp_path / "results.csv"), 0.1)
+        T.save_variables(solution, str(tmp_path), result.name, seed)
+    lines = (tmp_path / "results.csv").read_text().splitlines()
+    assert len(lines) == 3 and lines[0].startswith("name,seed,n_rep_periods") and lines[0].endswith("time_to_read") and lines[1] == lines[2]
+    folder = tmp_path / result.name
+    assert [x.split(",")[:2] for x in (folder / "invested_units.csv").read_text().splitlines()] == [["seed", "id"], ["1", "dear"], ["2", "dear"]]
+    assert sorted(p.name for p in folder.glob("*.csv")) == ["invested_units.csv"]  # there is no storage
+
+
+def test_no_optimum_is_not_evaluated(spark, small, tmp_path):
+    # no plant may be built, and those there are can't meet the demand
+    short = small | {"investments": small["investments"].limit(0)}
+    result, solution = run_experiment(short, Experiment(2, 2, "k_means", "euclidean", "dirac", 100, 1e-3, "investment_regret"))
+    assert result.termination_status == "INFEASIBLE" and solution.objective is None and solution.variables is None
+    assert any(r.startswith("balance") for r in solution.conflict) and any(r.startswith("capacity|cheap") for r in solution.conflict)
+    assert result.evaluation_termination_status == "NONE" and result.evaluated_objective_value is None
+    T.save_variables(solution, str(tmp_path), result.name, 1)
+    assert not (tmp_path / result.name).exists()
+
+
+@pytest.fixture(scope="module")
+def whole(spark, small):
+    """With lines, conversion, ramps, and storage of both kinds."""
+    df = lambda name, rows: spark.createDataFrame(rows, T.SCHEMAS[name].replace("can_charge string", "can_charge boolean"))
+    return small | {
+        "assets": df("assets", [("coal", "N", "Coal", 5.0, 2.0), ("gas", "S", "Gas", 10.0, 0.0), ("battery", "N", "Battery", 2.0, 1.0), ("lake", "S", "Hydro", 3.0, 1.0), ("river", "S", "River", 2.0, 1.0), ("cell", "N", "Cell", 4.0, 1.0)]),
+        "technologies": df("technologies", [("Coal", "generation", "el"), ("Gas", "generation", "el"), ("Battery", "storage", "el"), ("Hydro", "storage", "el"), ("River", "storage", "el"), ("Cell", "conversion", "h2")]),
+        "technologies_generation": df("technologies_generation", [("Coal", 1.0, 0.5), ("Gas", 3.0, 1.0)]),
+        "technologies_storage": df("technologies_storage", [("Battery", False, 0.9, 0.9), ("Hydro", True, 0.8, 0.9), ("River", True, 1.0, 0.9)]),
+        "technologies_conversion": df("technologies_conversion", [("Cell", "el", 1.0, 0.5)]),
+        "assets_storage": df("assets_storage", [("battery", 4.0, 1.0), ("lake", 20.0, 1.0), ("river", 10.0, 1.0)]),
+        "assets_storage_seasonal": df("assets_storage_seasonal", [("lake", 6.0, 1.0, 0.1, 50.0, True), ("river", 3.0, 0.5, 0.0, 50.0, False)]),
+        "investments": df("investments", [("gas", 0.5)]),
+        "demand": df("demand", [("D", "N", "el", 6.0), ("E", "S", "el", 3.0), ("H", "N", "h2", 0.5)]),
+        "transmission_lines": df("transmission_lines", [("line", "N", "S", "el", 2.0, 2.0)]),
+        "assets_profiles": df("assets_profiles", [("D", "demand", "d"), ("lake", "inflows", "d")]),
+    }
+
+
+@pytest.mark.parametrize("kind", ["storage_regret"])
+def test_experiment_with_storage(spark, whole, kind, tmp_path):
+    """Each period stands for itself, so the reduced programme can do what the whole one can, and its solution holds there."""
+    result, solution = run_experiment(whole, Experiment(4, 2, "k_medoids", "euclidean", "dirac", 100, 1e-3, kind))
+    assert result.termination_status == result.evaluation_termination_status == "OPTIMAL"
+    assert result.evaluated_objective_value == pytest.approx(result.objective_value, rel=0.02)
+    levels = {(r["name"], r["id"], r["r"], r["t"]): r["value"] for r in solution.variables.collect()}
+    near = lambda x, y: abs(x - y) < 0.02
+    for i in ("lake", "river"):
+        first = {"lake": 6.0, "river": 3.0}[i]
+        assert near(levels["state_of_charge_inter_0", i, 0, 0], first) and near(levels["state_of_charge_inter", i, 0, 4], first)
+    for r in range(1, 5):
+        assert near(levels["state_of_charge_intra", "battery", r, 2], levels["state_of_charge_intra_0", "battery", r, 0])
+        for t in (1, 2):
+            assert near(levels["power_in", "cell", r, t], 2 * levels["power_out", "cell", r, t]) and near(levels["power_out", "cell", r, t], 0.5)
+            assert abs(levels["flow", "line", r, t]) <= 2.01
+        assert abs(levels["power_out", "coal", r, 2] - levels["power_out", "coal", r, 1]) <= 5.01
+    T.save_variables(solution, str(tmp_path), "x", 3)
+    assert {p.name: p.read_text().splitlines()[0] for p in (tmp_path / "x").glob("*.csv")} == {
+        "invested_units.csv": "seed,id,value", "inter_period_storage_values.csv": "seed,id,period,value", "intra_period_storage_values.csv": "seed,id,rep_period,timestep,value",
+    }
+
+
+def test_grid_of_experiments(spark, small, tmp_path):
+    for name, table in small.items():
+        if name in T.SCHEMAS or name == "profiles_raw":
+            rows = [table.columns, *table.collect()]
+            file = name.removesuffix("_raw").replace("_", "-")
+            (tmp_path / "toy").mkdir(exist_ok=True)
+            (tmp_path / "toy" / f"{file}.csv").write_text("\n".join(",".join("" if v is None else str(v) for v in r) for r in rows) + "\n")
+    (tmp_path / "toy.csv").write_text(",".join(c.split()[0] for c in T.GRID.split(", ")) + "\n2,2,k_means,euclidean,dirac,10,1e-4,none\n")
+    assert run_grid(spark, str(tmp_path), ["toy"], str(tmp_path / "out"), seeds=(7, 8)) == 2
+    lines = (tmp_path / "out" / "toy.csv").read_text().splitlines()
+    assert len(lines) == 3 and [x.split(",")[1] for x in lines[1:]] == ["7", "8"]
+    assert len((tmp_path / "out" / "2_2_k_means_euclidean_dirac_10_0.0001" / "invested_units.csv").read_text().splitlines()) == 3
 
 
 def test_duplicate_demand_gives_two_balances(spark, small):
@@ -213,6 +396,18 @@ def test_read_folder(spark, tmp_path):
     assert t["profiles_raw"].dtypes[0] == ("timestep", "bigint")
     assert got(reshape.unpivot_wide(t["profiles_raw"]), "timestep", "id") == [(1, "x-1", 0.5), (1, "y", 1e-4), (2, "y", 2.0)]
     assert t["demand"].isEmpty()
+    # columns go by name, and files of one table may have different ones
+    (tmp_path / "investments.csv").write_text("cost,id\n5.0,A\n")
+    (tmp_path / "more.csv").write_text("id\nB\n")
+    both = T.read_data(spark, "investments", [str(tmp_path / "investments.csv"), str(tmp_path / "more.csv")])
+    assert got(both, "id") == [("A", 5.0), ("B", None)]
+    wide = [tmp_path / "p1.csv", tmp_path / "p2.csv"]
+    wide[0].write_text("timestep,a\n1,0.5\n")
+    wide[1].write_text("b,timestep\n0.25,2\n")
+    assert got(T.read_profile_data(spark, list(map(str, wide))).select("timestep", "a", "b"), "timestep") == [(1, 0.5, None), (2, None, 0.25)]
+    (tmp_path / "wrong.csv").write_text("id,price\nA,1\n")
+    with pytest.raises(ValueError, match="price"):
+        T.read_data(spark, "investments", str(tmp_path / "wrong.csv"))
 
 
 def test_grid(spark, tmp_path):

@@ -16,6 +16,11 @@ def parse(name: str) -> str:
     return NAMES[name]
 
 
+def show(name: str) -> str:
+    """The distance's own name, whatever synonym is given; another name as it is."""
+    return NAMES.get(name, name)
+
+
 def to_rows(metric: str, points: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of each row of points to y. The cosine distance to a zero vector is NaN."""
     metric = parse(metric)

@@ -33,6 +33,12 @@ def project_rows(rows: DataFrame, by: str, index: str, value: str) -> DataFrame:
     return ranked.join(shift, by).select(by, index, F.greatest(F.col(value) - F.col("tau"), F.lit(0.0)).alias("weight"))
 
 
+def orthant_rows(rows: DataFrame, value: str) -> DataFrame:
+    """rows with weight: the value, or 0 where that is negative; null and NaN stay."""
+    v = F.col(value)
+    return rows.withColumn("weight", F.when(v < 0, F.lit(0.0)).otherwise(v))
+
+
 def descend(x: np.ndarray, subgradient: Callable, projection: Callable, *, niters: int = 1000, tol: float = 1e-5, learning_rate: float = 1e-3, adaptive: bool = False) -> np.ndarray:
     """Projected subgradient descent (W3). It ends once no component grows by more than tol / niters, without that last step."""
     x = projection(np.asarray(x, float))

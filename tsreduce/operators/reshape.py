@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def period_of(t: Column, length: int) -> Column:
@@ -70,6 +71,12 @@ def to_long(features: DataFrame, places: DataFrame, period: str = "rep_period")
     return cells.join(places, "place").select(period, *(c for c in places.columns if c != "place"), "value").where("value IS NOT NULL")
 
 
+def differences(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """(by, timestep, change): each value less that of the timestep before, where there is one."""
+    w = Window.partitionBy(*by).orderBy("timestep")
+    return df.select(*by, "timestep", (F.col(value) - F.lag(value).over(w)).alias("change")).where("change IS NOT NULL")
+
+
 def append_period(rps: DataFrame, source: DataFrame, period: int, rp: int) -> DataFrame:
     """rps with a period of source as a further representative."""
     added = source.where(F.col("period") == period).withColumn("rep_period", F.lit(rp).cast("long"))

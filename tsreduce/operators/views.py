@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,16 @@ from tsreduce.operators.reshape import period_of, step_of, unpivot_wide
 from tsreduce.sources.tables import LEVELS, RP_PROFILES
 
 
+def _kept(view) -> property:
+    """A property that a catalog which holds the view takes from there."""
+    name = view.__name__
+    return property(lambda self: self._held[name] if name in self._held else view(self), doc=view.__doc__)
+
+
+#: Views that others are built of, each after those that it needs.
+KEPT = ("profiles", "periods", "time_grid")
+
+
 class Catalog:
     """Views over base tables. period_length cuts the profiles; rp_profiles are the representatives' profiles.
 
@@ -19,11 +27,18 @@ class Catalog:
 
     def __init__(self, tables: dict[str, DataFrame], period_length: int = 8760, rp_profiles: DataFrame | None = None) -> None:
         self.tables, self.period_length, self._rp = tables, period_length, rp_profiles
-        self.spark = next(iter(tables.values())).sparkSession
+        self.spark, self._held = next(iter(tables.values())).sparkSession, {}
 
     def with_(self, period_length: int | None = None, rp_profiles: DataFrame | None = None) -> Catalog:
         return Catalog(self.tables, period_length or self.period_length, rp_profiles if rp_profiles is not None else self._rp)
 
+    def kept(self) -> Catalog:
+        """This catalog, with what many views make of the profiles held in memory and on disk, so that those are read once."""
+        c = Catalog(self.tables, self.period_length, self._rp.persist() if self._rp is not None else None)
+        for name in KEPT:
+            c._held[name] = c.view(name).persist()
+        return c
+
     def view(self, name: str) -> DataFrame:
         return getattr(self, name)
 
@@ -64,19 +79,19 @@ class Catalog:
         own = self.tables["technologies"].where(F.col("type") == kind).join(self.tables[f"technologies_{kind}"], "id")
         return self.tables["assets"].join(own.withColumnRenamed("id", "technology"), "technology")
 
-    @property
+    @_kept
     def conversion_assets(self) -> DataFrame:
         return self._of_type("conversion")
 
-    @property
+    @_kept
     def generation_assets(self) -> DataFrame:
         return self._of_type("generation")
 
-    @property
+    @_kept
     def storage_assets(self) -> DataFrame:
         return self._of_type("storage").join(self.tables["assets_storage"], "id")
 
-    @property
+    @_kept
     def seasonal_storage_assets(self) -> DataFrame:
         return self.storage_assets.where("is_seasonal").join(self.tables["assets_storage_seasonal"], "id")
 
@@ -98,7 +113,7 @@ class Catalog:
         t = F.col("timestep")
         return unpivot_wide(self.tables[name]).select(period_of(t, self.period_length).alias("period"), step_of(t, self.period_length).alias("timestep"), "id", "value")
 
-    @property
+    @_kept
     def profiles(self) -> DataFrame:
         named = self.tables["assets_profiles"].select(F.col("profile").alias("id"), "asset", "profile_type")
         return self._split("profiles_raw").join(named, "id").select("period", "timestep", F.col("asset").alias("id"), "profile_type", "value")
@@ -107,7 +122,7 @@ class Catalog:
     def timesteps(self) -> DataFrame:
         return self.profiles.select(F.col("timestep").alias("id")).distinct()
 
-    @property
+    @_kept
     def periods(self) -> DataFrame:
         return self.profiles.select(F.col("period").alias("id")).distinct()
 
@@ -178,7 +193,7 @@ class Catalog:
     def rp_profiles(self) -> DataFrame:
         return self._rp if self._rp is not None else self.spark.createDataFrame([], RP_PROFILES)
 
-    @cached_property
+    @_kept
     def time_grid(self) -> DataFrame:
         return self.rp_profiles.select("rep_period", "timestep").distinct()
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsreduce.operators.clustering import WEIGHTS, find_representative_periods, method_for
@@ -13,7 +15,7 @@ from tsreduce.operators.views import Catalog
 from tsreduce.operators.weights import fit_weights, projection_error
 from tsreduce.plans.lp import Programme, build, fix
 from tsreduce.plans.solver import Solution, solve
-from tsreduce.sources.tables import ExperimentResult
+from tsreduce.sources.tables import ExperimentResult, read_data_from_dir, read_run_data, save_result, save_variables
 
 
 @dataclass(frozen=True)
@@ -67,9 +69,32 @@ def run_experiment(tables: dict[str, DataFrame], e: Experiment, seed: int = 0, *
     solution = solve(p, **how)
     lap()
     evaluated, spilled, borrowed = None, 0.0, 0.0
-    if e.evaluation_type != "none":
+    if e.evaluation_type != "none" and solution.status == "OPTIMAL":
         evaluated = solve(evaluation(c, solution.variables, e), **how)
+    if evaluated is not None and evaluated.status == "OPTIMAL":
         sums = {r["name"]: r["s"] for r in evaluated.variables.where(F.col("name").isin("spillage", "borrow")).groupBy("name").agg(F.sum("value").alias("s")).collect()}
         spilled, borrowed = sums.get("spillage", 0.0), sums.get("borrow", 0.0)
     result = ExperimentResult(e.name, seed, e.n_rep_periods, e.period_length, e.clustering_type, e.distance, e.weight_type, error, solution.status, solution.objective, evaluated.status if evaluated else "NONE", evaluated.objective if evaluated else None, spilled, borrowed, *times)
     return result, solution
+
+
+def run_grid(spark: SparkSession, inputs: str, names: Sequence[str], outputs: str, seeds: Sequence[int] | None = None, **how) -> int:
+    """Runs each experiment of the grids inputs/name.csv over the tables of inputs/name, once for each seed; how many ran.
+
+    Each gives a row of outputs/name.csv, and the files of its variables in outputs/its name, if it was solved. Without
+    seeds, five are drawn from 1 to 1000. Nothing here draws at random, so a seed only names its rows.
+    """
+    seeds = [int(s) for s in np.random.default_rng(123).integers(1, 1001, 5)] if seeds is None else seeds
+    ran = 0
+    for name in names:
+        grid = [Experiment(**row.asDict()) for row in read_run_data(spark, f"{inputs}/{name}.csv").collect()]
+        for seed in seeds:
+            began = time.perf_counter()
+            tables = read_data_from_dir(spark, f"{inputs}/{name}")
+            read = time.perf_counter() - began
+            for e in grid:
+                result, solution = run_experiment(tables, e, seed, **how)
+                save_result(result, spark, f"{outputs}/{name}.csv", read)
+                save_variables(solution, outputs, result.name, seed)
+                ran += 1
+    return ran

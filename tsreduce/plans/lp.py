@@ -49,7 +49,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def build(c: Catalog, weights: DataFrame, timestep_duration: float | None = None) -> Programme:
-    """The programme over c's representatives, whose weights by period are given."""
+    """The programme over c's representatives, whose weights by period are given. What views share of the profiles is kept while its frames are used."""
+    c, weights = c.kept(), weights.persist()
     dur = c.scalar("timestep_duration") if timestep_duration is None else timestep_duration
     last = c.rp_profiles.agg(F.max("timestep")).first()[0] or 0
     n_periods = c.periods.agg(F.max("id")).first()[0] or 0

@@ -12,7 +12,6 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tsreduce.functions import metrics, projections
 from tsreduce.operators import clustering, reshape, weights
@@ -21,7 +20,8 @@ from tsreduce.plans import lp
 
 PERIOD = 24
 SERIES = ("click", "error", "purchase", "signup", "view")
-_HOUR = "(day(ts) - 1) * 24 + hour(ts) + 1"
+#: Hours since 2024 began; years are as long as the longest.
+_HOUR = "(year(ts) - 2024) * 8784 + (dayofyear(ts) - 1) * 24 + hour(ts) + 1"
 _KIND = "CASE s_suppkey % 5 WHEN 0 THEN 'Wind' WHEN 1 THEN 'Coal' WHEN 2 THEN 'Battery' WHEN 3 THEN 'Hydro' ELSE 'Electrolyzer' END"
 _ID = "'S' || CAST(s_suppkey AS STRING)"
 
@@ -60,7 +60,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(period, timestep, id, value) of all hours and series; hours without events are 0."""
     wide = catalog(spark, sf_dir).tables["profiles_raw"]
-    hours = spark.range(1, 721).select(F.col("id").alias("timestep"))
+    last = (F.ceil(F.max("timestep") / PERIOD) * PERIOD).cast("long")
+    hours = wide.agg(last.alias("last")).select(F.explode(F.sequence(F.lit(1).cast("long"), "last")).alias("timestep"))
     full = hours.join(wide, "timestep", "left").fillna(0.0, list(SERIES))
     return reshape.split_into_periods(reshape.unpivot_wide(full), PERIOD)
 
@@ -113,7 +114,8 @@ VIEW_SQL = {
     "transmission_line_capacity_constraint_view": "SELECT l.id, t.rep_period, t.timestep, l.export_capacity, l.import_capacity FROM transmission_lines l, time_grid t",
 }
 _DENSE_SQL = {
-    "cells": "SELECT h.h AS hour, s.s AS id, 0.0::DOUBLE AS none FROM (SELECT unnest(range(1, 721)) AS h) h, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS s) s",
+    "charges": "SELECT 'short' AS block, id, rep_period, timestep, efficiency_in, efficiency_out FROM intra_period_short_term_storage_constraint_view UNION ALL SELECT 'charging', id, rep_period, timestep, efficiency_in, efficiency_out FROM intra_period_seasonal_storage_can_charge_constraint_view UNION ALL SELECT 'inflow', id, rep_period, timestep, NULL, efficiency_out FROM intra_period_seasonal_storage_cannot_charge_constraint_view",
+    "cells": "SELECT h.h AS hour, s.s AS id, 0.0::DOUBLE AS none FROM (SELECT unnest(range(1, CAST(ceil(max(timestep) / 24) * 24 AS BIGINT) + 1)) AS h FROM profiles_raw) h, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS s) s",
     "dense": "SELECT (c.hour - 1) // 24 + 1 AS period, (c.hour - 1) % 24 + 1 AS timestep, c.id, coalesce(u.value, c.none) AS value FROM cells c LEFT JOIN (FROM profiles_raw UNPIVOT (value FOR id IN (click, error, purchase, signup, view))) u ON u.timestep = c.hour AND u.id = c.id",
     "apart": "SELECT x.period AS p, y.period AS q, sqrt(sum((x.value - y.value) ** 2)) AS euclidean, sum(abs(x.value - y.value)) AS cityblock, max(abs(x.value - y.value)) AS chebyshev, 1 - sum(x.value * y.value) / sqrt(sum(x.value ** 2) * sum(y.value ** 2)) AS cosine FROM dense x JOIN dense y ON x.timestep = y.timestep AND x.id = y.id GROUP BY 1, 2",
     "chosen": "SELECT * FROM (VALUES (1, 1), (2, 11), (3, 21)) AS t(rep_period, period)",
@@ -147,7 +149,8 @@ CHOSEN = (1, 11, 21)
 
 
 def _reps(x: DataFrame) -> np.ndarray:
-    return np.stack([clustering._vector(x, p) for p in CHOSEN])
+    rows = {r["period"]: r["features"] for r in x.where(F.col("period").isin(*CHOSEN)).collect()}
+    return np.array([rows[p] for p in CHOSEN], float)
 
 
 def unpivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +215,8 @@ def simplex_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orthant_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.select("l_orderkey", "l_linenumber", F.round(F.greatest(F.col("l_tax") - 0.04, F.lit(0.0)), 6).alias("weight"))
+    moved = projections.orthant_rows(lines.withColumn("v", F.col("l_tax") - 0.04), "v")
+    return moved.select("l_orderkey", "l_linenumber", F.round("weight", 6).alias("weight"))
 
 
 def descent_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +248,7 @@ def rp_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lag_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a ramp or a state of charge is made of: each value less the one before it."""
-    w = Window.partitionBy("id", "period").orderBy("timestep")
-    return dense(spark, sf_dir).select("id", "period", "timestep", F.round(F.col("value") - F.lag("value").over(w), 6).alias("change")).where("change IS NOT NULL")
+    return reshape.differences(dense(spark, sf_dir), ["id", "period"]).withColumn("change", F.round("change", 6))
 
 
 def _programme(spark: SparkSession, sf_dir: str) -> lp.Programme:
@@ -264,7 +267,7 @@ def lp_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lp_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.split_part(F.col("row"), F.lit("|"), F.lit(1)).alias("block")
-    return _programme(spark, sf_dir).terms.groupBy(block, "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("a"), 3).alias("a"))
+    return _programme(spark, sf_dir).terms.groupBy(block, "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("a"), 3).alias("a"), F.round(F.sum(F.col("a") * F.col("a")), 3).alias("squares"), F.round(F.sum(F.col("a") * (F.col("r") * 100 + F.col("t"))), 2).alias("moment"))
 
 
 def _found(method: str):
@@ -323,6 +326,41 @@ SQL = {
       UNION ALL SELECT 'charging_capacity', '<', count(*), sum(there) FROM ({_LIMITED}) JOIN (SELECT id FROM short_term_storage_assets UNION ALL SELECT id FROM seasonal_storage_assets_can_charge) USING (id), time_grid
       UNION ALL SELECT unnest(['ramp+1', 'ramp-1']), '<', n, rhs FROM (SELECT count(*) AS n, sum(ramping_rate * there) AS rhs FROM intra_period_ramping_constraint_view JOIN ({_LIMITED}) USING (id))
       UNION ALL SELECT unnest(['inter_ramp+1', 'inter_ramp-1']), '<', n, rhs FROM (SELECT count(*) AS n, sum(ramping_rate * there) AS rhs FROM inter_period_ramping_constraint_view JOIN ({_LIMITED}) USING (id))) WHERE n > 0""",
+    "lp_terms": """SELECT block, name, count(*) AS n, round(sum(a), 3) AS a, round(sum(a * a), 3) AS squares, round(sum(a * (r * 100 + t)), 2) AS moment FROM (
+      SELECT 'balance' AS block, 'power_out' AS name, rep_period AS r, timestep AS t, 1.0::DOUBLE AS a FROM balance_constraint_view b JOIN power_out_expression_view p ON p.location = b.location AND p.carrier_out = b.carrier
+      UNION ALL SELECT 'balance', 'power_in', rep_period, timestep, -1 FROM balance_constraint_view b JOIN power_in_expression_view p ON p.location = b.location AND p.carrier_in = b.carrier
+      UNION ALL SELECT 'balance', 'flow', rep_period, timestep, -1 FROM balance_constraint_view b JOIN transmission_line_expression_view l ON l."from" = b.location AND l.carrier = b.carrier
+      UNION ALL SELECT 'balance', 'flow', rep_period, timestep, 1 FROM balance_constraint_view b JOIN transmission_line_expression_view l ON l."to" = b.location AND l.carrier = b.carrier
+      UNION ALL SELECT block, 'state_of_charge_intra', rep_period, timestep, 1 FROM charges
+      UNION ALL SELECT block, 'state_of_charge_intra', rep_period, timestep - 1, -1 FROM charges WHERE timestep > 1
+      UNION ALL SELECT block, 'state_of_charge_intra_0', rep_period, 0, -1 FROM charges WHERE timestep = 1
+      UNION ALL SELECT block, 'power_out', rep_period, timestep, 1 / efficiency_out FROM charges
+      UNION ALL SELECT block, 'power_in', rep_period, timestep, -efficiency_in FROM charges WHERE block <> 'inflow'
+      UNION ALL SELECT block, unnest(['spillage', 'borrow']), rep_period, timestep, unnest([1, -1]) FROM charges WHERE block <> 'short'
+      UNION ALL SELECT 'inter', 'state_of_charge_inter', 0, p.id, 1 FROM seasonal_storage_assets, periods p
+      UNION ALL SELECT 'inter', 'state_of_charge_inter', 0, p.id - 1, -1 FROM seasonal_storage_assets, periods p WHERE p.id > 1
+      UNION ALL SELECT 'inter', 'state_of_charge_inter_0', 0, 0, -1 FROM seasonal_storage_assets, periods p WHERE p.id = 1
+      UNION ALL SELECT 'inter', 'state_of_charge_intra', rep_period, 24, -1 FROM seasonal_storage_assets, nearest
+      UNION ALL SELECT 'inter', 'state_of_charge_intra_0', rep_period, 0, 1 FROM seasonal_storage_assets, nearest
+      UNION ALL SELECT 'cycle', 'state_of_charge_inter', 0, (SELECT max(id) FROM periods), 1 FROM seasonal_storage_assets
+      UNION ALL SELECT 'cycle', 'state_of_charge_inter_0', 0, 0, -1 FROM seasonal_storage_assets
+      UNION ALL SELECT 'cycle', 'state_of_charge_intra', rep_period, 24, 1 FROM short_term_storage_assets, (SELECT DISTINCT rep_period FROM time_grid)
+      UNION ALL SELECT 'cycle', 'state_of_charge_intra_0', rep_period, 0, -1 FROM short_term_storage_assets, (SELECT DISTINCT rep_period FROM time_grid)
+      UNION ALL SELECT 'initial', 'state_of_charge_inter_0', 0, 0, 1 FROM initial_storage_constraint_view
+      UNION ALL SELECT 'final', 'state_of_charge_inter', 0, (SELECT max(id) FROM periods), 1 FROM initial_storage_constraint_view
+      UNION ALL SELECT 'final', 'state_of_charge_intra', rep_period, 24, -1 FROM initial_storage_constraint_view, nearest WHERE period = (SELECT max(id) FROM periods)
+      UNION ALL SELECT 'conversion', 'power_in', rep_period, timestep, efficiency_in FROM conversion_constraint_view
+      UNION ALL SELECT 'conversion', 'power_out', rep_period, timestep, -1 / efficiency_out FROM conversion_constraint_view
+      UNION ALL SELECT 'capacity', 'power_out', rep_period, timestep, 1 FROM capacity_constraint_view
+      UNION ALL SELECT 'capacity', 'invested_units', 0, 0, -availability_profile * unit_capacity FROM capacity_constraint_view WHERE investable
+      UNION ALL SELECT 'charging_capacity', 'power_in', rep_period, timestep, 1 FROM charges WHERE block <> 'inflow'
+      UNION ALL SELECT 'charging_capacity', 'invested_units', 0, 0, -unit_capacity FROM charges JOIN investable_assets USING (id) WHERE block <> 'inflow'
+      UNION ALL SELECT 'ramp' || s.k, 'power_out', rep_period, timestep - s.before, s.a FROM intra_period_ramping_constraint_view, (VALUES ('+1', 0, 1), ('+1', 1, -1), ('-1', 0, -1), ('-1', 1, 1)) AS s(k, before, a)
+      UNION ALL SELECT 'ramp' || s.k, 'invested_units', 0, 0, -ramping_rate * unit_capacity FROM intra_period_ramping_constraint_view JOIN investable_assets USING (id), (VALUES ('+1'), ('-1')) AS s(k)
+      UNION ALL SELECT 'inter_ramp' || s.k, 'invested_units', 0, 0, -ramping_rate * unit_capacity FROM inter_period_ramping_constraint_view JOIN investable_assets USING (id), (VALUES ('+1'), ('-1')) AS s(k)
+      UNION ALL SELECT 'inter_ramp' || s.k, 'power_out', n.rep_period, 1, s.a FROM inter_period_ramping_constraint_view v JOIN nearest n ON n.period = v.period, (VALUES ('+1', 1), ('-1', -1)) AS s(k, a)
+      UNION ALL SELECT 'inter_ramp' || s.k, 'power_out', n.rep_period, 24, -s.a FROM inter_period_ramping_constraint_view v JOIN nearest n ON n.period = v.period - 1, (VALUES ('+1', 1), ('-1', -1)) AS s(k, a))
+      WHERE a <> 0 GROUP BY block, name""",
     "lp_variables": """SELECT name, n, round(lb, 2) AS lb, round(ub, 2) AS ub, round(cost, 2) AS cost FROM (
       SELECT 'invested_units' AS name, count(*) AS n, 0.0::DOUBLE AS lb, NULL::DOUBLE AS ub, sum(cost * unit_capacity) AS cost FROM investable_assets
       UNION ALL SELECT 'power_out', (SELECT count(*) FROM assets, time_grid), 0, NULL, (SELECT sum(variable_cost * w) FROM operations_cost_objective_view, time_grid JOIN (SELECT rep_period, count(*) AS w FROM nearest GROUP BY 1) USING (rep_period))

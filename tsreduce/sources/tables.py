@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from dataclasses import asdict, dataclass
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,17 +39,41 @@ def table_name(path: str) -> str:
     return f"{name}_raw" if name.startswith("profiles") else name
 
 
+def header(spark: SparkSession, path: str) -> list[str]:
+    """The names in a file's first line; none of an empty file."""
+    head = spark.read.text(path).first()
+    return [n.strip().removeprefix("\ufeff") for n in next(csv.reader([head[0]]))] if head else []
+
+
+def _by_name(spark: SparkSession, paths: str | list[str], kind_of) -> DataFrame | None:
+    """Files of one table, each read by its own header; a column that a file lacks is null in its rows."""
+    frames = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        if names := header(spark, path):
+            schema = ", ".join(f"`{n}` {kind_of(n)}" for n in names)
+            frames.append(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path, schema=schema))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
+
+
 def read_data(spark: SparkSession, name: str, path: str | list[str]) -> DataFrame:
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path, schema=SCHEMAS[name])
+    """A base table from files whose columns are told by name, in any order; an error for names that the table hasn't."""
+    kinds = {c.split()[0].strip("`"): c.split()[1] for c in SCHEMAS[name].split(", ")}
+
+    def kind(column: str) -> str:
+        if column not in kinds:
+            raise ValueError(f"column {column!r} is unknown in {name}")
+        return kinds[column]
+
+    df = _by_name(spark, path, kind)
+    df = spark.createDataFrame([], SCHEMAS[name]) if df is None else df
+    df = df.select(*(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()))
     return df.withColumn("can_charge", F.col("can_charge").cast("boolean")) if name == "assets_storage_seasonal" else df
 
 
-def read_profile_data(spark: SparkSession, path: str) -> DataFrame:
-    """A wide table: timestep long, and a double for each series that the header names."""
-    head = spark.read.text(path).first()
-    names = next(csv.reader([head[0].strip()])) if head else ["timestep"]
-    schema = ", ".join(f"`{n}` {'long' if n == 'timestep' else 'double'}" for n in names)
-    return spark.read.option("header", True).csv(path, schema=schema)
+def read_profile_data(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A wide table: timestep long, and a double for each series that a header names."""
+    df = _by_name(spark, path, lambda n: "long" if n == "timestep" else "double")
+    return spark.createDataFrame([], "timestep long") if df is None else df
 
 
 def read_data_from_dir(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -67,11 +93,12 @@ def read_data_from_dir(spark: SparkSession, folder: str) -> dict[str, DataFrame]
 
 def read_run_data(spark: SparkSession, path: str) -> DataFrame:
     """The experiment grid; an error if a column is missing."""
-    head = spark.read.text(path).first()
-    names = set(next(csv.reader([head[0].strip()]))) if head else set()
+    names = set(header(spark, path))
     if missing := {c.split()[0] for c in GRID.split(", ")} - names:
         raise ValueError(f"columns missing in {path}: {', '.join(sorted(missing))}")
-    return spark.read.option("header", True).option("enforceSchema", False).csv(path, schema=GRID)
+    kinds = dict(c.split() for c in GRID.split(", "))
+    rows = _by_name(spark, path, lambda n: kinds.get(n, "string"))
+    return rows.select(*kinds)
 
 
 @dataclass(frozen=True)
@@ -102,12 +129,50 @@ class ExperimentResult:
         return spark.createDataFrame([tuple(asdict(self).values())], schema).withColumn("time_to_read", F.lit(float(time_to_read)))
 
 
-def save_result(result: ExperimentResult, spark: SparkSession, folder: str, time_to_read: float) -> None:
-    result.as_frame(spark, time_to_read).coalesce(1).write.mode("append").option("header", True).csv(folder)
+def append_csv(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Adds the few rows of a frame to one CSV file, which gets a header when it is made. Folders are made as needed; the file is replaced as a whole."""
+    lines = io.StringIO(newline="")
+    out = csv.writer(lines, lineterminator="\n")
+    hadoop = spark._jvm.org.apache.hadoop
+    target, fresh = hadoop.fs.Path(path), hadoop.fs.Path(path + ".new")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        before = "".join(r[0] + "\n" for r in spark.read.text(path).coalesce(1).collect())
+    else:
+        before = ""
+        out.writerow(rows.columns)
+    out.writerows(rows.collect())
+    stream = fs.create(fresh, True)
+    try:
+        stream.write(bytearray((before + lines.getvalue()).encode()))
+    finally:
+        stream.close()
+    fs.delete(target, False)
+    fs.rename(fresh, target)
+
+
+def save_result(result: ExperimentResult, spark: SparkSession, path: str, time_to_read: float) -> None:
+    append_csv(spark, path, result.as_frame(spark, time_to_read))
+
+
+#: Files of a result's variables, and the keys of each.
+VARIABLE_FILES = {
+    "state_of_charge_inter": ("inter_period_storage_values.csv", {"id": "id", "t": "period"}),
+    "state_of_charge_intra": ("intra_period_storage_values.csv", {"id": "id", "r": "rep_period", "t": "timestep"}),
+    "invested_units": ("invested_units.csv", {"id": "id"}),
+}
 
 
-def save_variable(variables: DataFrame, name: str, keys: list[str], folder: str, seed: int) -> None:
-    """Appends one variable's rows (seed, its keys, value); nothing without rows."""
-    rows = variables.where(F.col("name") == name).select(F.lit(seed).cast("long").alias("seed"), *keys, "value")
+def save_variable(solution, name: str, keys: dict[str, str], path: str, seed: int) -> None:
+    """Adds one variable's values (seed, its keys, value) to a file; nothing without an optimal solution or without rows."""
+    if solution.status != "OPTIMAL" or solution.variables is None:
+        return
+    rows = solution.variables.where(F.col("name") == name).select(F.lit(seed).cast("long").alias("seed"), *(F.col(k).alias(v) for k, v in keys.items()), "value")
     if not rows.isEmpty():
-        rows.write.mode("append").option("header", True).csv(folder)
+        append_csv(rows.sparkSession, path, rows.orderBy(*keys.values()))
+
+
+def save_variables(solution, folder: str, result_name: str, seed: int) -> None:
+    """Storage levels between and within periods, and investments, each in a file of the result's folder."""
+    for name, (file, keys) in VARIABLE_FILES.items():
+        save_variable(solution, name, keys, f"{folder}/{result_name}/{file}", seed)
