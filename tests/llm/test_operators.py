@@ -154,12 +154,13 @@ def test_ngram_join_odd_rows(docs):
 def test_cross_pairs_of_odd_totals(spark, percent, small, block):
     # sets that lie in one another, tokens at every position, components of several sets, and a token of a few rows
     rows = [(k, pos, small + k % 2, k, k if k < 8 else 0) for k, pos in enumerate([0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3])]
-    near = bytes([small]) + bytes(ngram_join.SMALL - 1)
-    table = [(7, *r, near) for r in rows] + [(8, k, 0, small, k, k, near) for k in (20, 21)]
-    df = spark.createDataFrame(table, "token long, k long, pos int, n int, rep long, comp long, small binary")
+    near = bytes([small]) + bytes(ngram_join.small_slots(percent) - 1)
+    table = [(7, *r) for r in rows] + [(8, k, 0, small, k, k) for k in (20, 21)]
+    df = spark.createDataFrame(table, "token long, k long, pos int, n int, rep long, comp long")
+    sketches = spark.createDataFrame([(r, near) for r in {x[4] for x in table}], "rep long, small binary")
     most = lambda t: t - 2 * -(-percent * t // (100 + percent))
     want = {(i, j) for _, p, n, i, c in rows for _, q, m, j, d in rows if i < j and c != d and p + q <= most(n + m) and 100 * min(n, m) >= percent * max(n, m)}
-    assert want and {(r.a, r.b) for r in ngram_join._cross_pairs(df, percent, block).collect()} == want | {(20, 21)}
+    assert want and {(r.a, r.b) for r in ngram_join._cross_pairs(df, sketches, percent, block).collect()} == want | {(20, 21)}
 
 
 def test_prefixes_of_linked_sets_meet_under_every_order():

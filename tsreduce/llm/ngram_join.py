@@ -12,8 +12,8 @@ from tsreduce.llm.shared import materialize, release
 from tsreduce.llm.shingles import counted, digest, mix, shingle_sets
 from tsreduce.llm.text_pairs import with_texts
 
-#: Slots of a set's sketch, and of the small one that its prefix rows carry. The more there are, the fewer unlike sets pass.
-SKETCH, SMALL = 256, 32
+#: Slots of a set's sketch. The more there are, the fewer unlike sets pass.
+SKETCH = 256
 #: Rows of a token that are met at once; those of a token with more are met by pairs of blocks, in as many tasks.
 BLOCK = 2048
 #: Pairs of rows that are looked at in one go.
@@ -37,9 +37,15 @@ def sketch(s: np.ndarray) -> bytes:
     return np.bincount((s >> np.uint64(40)) & np.uint64(SKETCH - 1), minlength=SKETCH).astype(np.uint8).tobytes()
 
 
-def small_sketch(sketch: bytes) -> bytes:
-    """A sketch with its slots added up to SMALL, which brings sets no further apart."""
-    return np.frombuffer(sketch, np.uint8).reshape(SMALL, -1).sum(axis=1, dtype=np.uint8).tobytes()
+def small_slots(percent: int) -> int:
+    """Slots of the sketch that rows of a token carry: 32 at 90 percent. Unlike sets are about sqrt(slots * size) apart, so where twice the differences are allowed it takes four times the slots."""
+    share = lambda p: (100 - p) / (100 + p)
+    return min(SKETCH, 1 << max(3, int(np.ceil(np.log2(32 * (share(percent) / share(90)) ** 2)))))
+
+
+def small_sketch(sketch: bytes, slots: int) -> bytes:
+    """A sketch with its slots added up to fewer, which brings sets no further apart."""
+    return np.frombuffer(sketch, np.uint8).reshape(slots, -1).sum(axis=1, dtype=np.uint8).tobytes()
 
 
 def sketch_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -116,7 +122,7 @@ def _prefixes(rows: DataFrame, width: int, percent: int, orders: int, frequent)
     (token, pos, n, id): its prefix under the first order. (id, n, sketch, small, others), where token is null: its
     sketches, and its prefixes under the other orders, each in turn as 32-bit hashes.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(frequent)
+    sent, slots = rows.sparkSession.sparkContext.broadcast(frequent), small_slots(percent)
     names = ["token", "pos", "n", "id", "sketch", "small", "others"]
 
     def batches(it):
@@ -135,7 +141,7 @@ def _prefixes(rows: DataFrame, width: int, percent: int, orders: int, frequent)
                     first = np.argpartition(keys, p - 1)[:p] if p < len(s) else np.arange(len(s))
                     prefixes.append(mix(s[first[np.argsort(keys[first])]], 100 + o))
                 x = sketch(s)
-                out.append((prefixes[0], p, len(s), i, x, small_sketch(x), b"".join((z >> np.uint64(32)).astype("<u4").tobytes() for z in prefixes[1:])))
+                out.append((prefixes[0], p, len(s), i, x, small_sketch(x, slots), b"".join((z >> np.uint64(32)).astype("<u4").tobytes() for z in prefixes[1:])))
             if out:
                 each = np.array([x[1] for x in out])
                 m, at = int(each.sum()), lambda k, t: np.array([x[k] for x in out], t)
@@ -200,7 +206,7 @@ def _may_link(na, nb, pa_, pb, percent: int):
 
 
 def _in_blocks(rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """rows (token, k, pos, n, rep, comp, small) with lo, hi and mine: the pair of blocks of its token in which a row is met, and its own.
+    """rows (token, k, pos, n, rep, comp) with lo, hi and mine: the pair of blocks of its token in which a row is met, and its own.
 
     Most tokens are one block. Of others a row is repeated for each pair of blocks that can hold a pair: not if both are
     of one component, or lie beyond the reach of their positions and sizes.
@@ -223,14 +229,16 @@ def _in_blocks(rows: DataFrame, percent: int, block: int) -> DataFrame:
     return whole.join(many, "token", "left_anti").unionByName(cut.join(met, ["token", "mine"]))
 
 
-def _cross_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def _cross_pairs(rows: DataFrame, sketches: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """(a, b): pairs of sets (by rep) of different components that a token at these positions, sizes and small sketches allow.
 
-    rows (token, k, pos, n, rep, comp, small). Rows of a token, or of a pair of its blocks, lie in order of component, so
+    rows (token, k, pos, n, rep, comp); sketches (rep, small), which only rows of tokens of several components get. Rows of a token, or of a pair of its blocks, lie in order of component, so
     each is met with those of later components alone.
     """
     keys = ["token", "lo", "hi"]
-    dealt = _in_blocks(rows, percent, block).repartition(*keys).sortWithinPartitions(*keys, "comp", "pos", "rep")
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("token")
+    met = _in_blocks(rows.join(mixed, "token", "left_semi"), percent, block).join(sketches, "rep")
+    dealt = met.repartition(*keys).sortWithinPartitions(*keys, "comp", "pos", "rep")
 
     def pairs(t: pa.RecordBatch):
         get = lambda c: t.column(c).to_numpy().astype(np.int64)
@@ -245,7 +253,7 @@ def _cross_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
         begin, count = end(new_comp), end(new_run) - end(new_comp)
         if not count.any():
             return
-        small = np.frombuffer(b"".join(t.column("small").to_pylist()), np.uint8).reshape(-1, SMALL)
+        small = np.frombuffer(b"".join(t.column("small").to_pylist()), np.uint8).reshape(t.num_rows, -1)
         total = np.cumsum(count)
         edges = [0, *np.searchsorted(total, np.arange(AT_ONCE, int(total[-1]), AT_ONCE)).tolist(), len(count)]
         for x, y in zip(edges[:-1], edges[1:]):
@@ -382,10 +390,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one_id = rep_of.join(several, "id").select("a", F.col("rep").alias("b"))
     comps = connected_components(linked.unionByName(one_id), "a", "b")
 
-    of_id = rep_of.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").join(given.select("rep", "small"), "rep")
-    of_id = of_id.select("id", "rep", F.coalesce("component", "rep").alias("comp"), "small")
+    of_id = rep_of.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    of_id = of_id.select("id", "rep", F.coalesce("component", "rep").alias("comp"))
     met = materialize(shared.select("token", "k", "pos", "n", "id").join(of_id, "id").drop("id"), "met")
-    second = materialize(_cross_pairs(met, percent, block), "cross")
+    second = materialize(_cross_pairs(met, given.select("rep", "small"), percent, block), "cross")
     release(shared, met)
     more = _verified(_near(second.join(first, ["a", "b"], "left_anti"), given, percent, orders), texts, width, percent)
     release(first, second, given)
