@@ -16,7 +16,7 @@ def _kept(view) -> property:
 
 
 #: Views that others are built of, each after those that it needs.
-KEPT = ("profiles", "periods", "time_grid")
+KEPT = ("profiles", "periods", "time_grid", "conversion_assets", "generation_assets", "storage_assets", "seasonal_storage_assets")
 
 
 class Catalog:
@@ -33,7 +33,7 @@ class Catalog:
         return Catalog(self.tables, period_length or self.period_length, rp_profiles if rp_profiles is not None else self._rp)
 
     def kept(self) -> Catalog:
-        """This catalog, with what many views make of the profiles held in memory and on disk, so that those are read once."""
+        """This catalog, with what many views are made of held in memory and on disk, so that tables are read once."""
         c = Catalog(self.tables, self.period_length, self._rp.persist() if self._rp is not None else None)
         for name in KEPT:
             c._held[name] = c.view(name).persist()

@@ -35,13 +35,18 @@ def _key(block: str, *keys) -> Column:
     return F.concat_ws("|", F.lit(block), *(_col(k).cast("string") for k in keys))
 
 
-def _term(df: DataFrame, row: Column, name: str, a, id_=None, r=None, t=None) -> DataFrame:
-    id_, r, t = (F.col("id") if id_ is None else id_), (F.lit(0) if r is None else r), (F.lit(0) if t is None else t)
-    return df.select(row.alias("row"), F.lit(name).alias("name"), id_.alias("id"), r.cast("long").alias("r"), t.cast("long").alias("t"), _col(a).cast("double").alias("a"))
+def _terms(df: DataFrame, *each: tuple) -> DataFrame:
+    """For every row of df, which is read once, a term of each (row, name, a, r, t); r and t are 0 where left out. Those worth nothing are left out."""
 
+    def term(row, name, a, r=0, t=0):
+        return F.struct(row.alias("row"), _col(name).alias("name"), F.col("id").alias("id"), _col(r).cast("long").alias("r"), _col(t).cast("long").alias("t"), _col(a).cast("double").alias("a"))
 
-def _row(df: DataFrame, row: Column, sense: str, rhs) -> DataFrame:
-    return df.select(row.alias("row"), F.lit(sense).alias("sense"), _col(rhs).cast("double").alias("rhs"))
+    return df.select(F.inline(F.array(*(term(*e) for e in each)))).where("a <> 0")
+
+
+def _rows(df: DataFrame, *each: tuple) -> DataFrame:
+    """For every row of df a row of each (row, sense, rhs)."""
+    return df.select(F.inline(F.array(*(F.struct(row.alias("row"), F.lit(sense).alias("sense"), _col(rhs).cast("double").alias("rhs")) for row, sense, rhs in each))))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -95,7 +100,7 @@ def build(c: Catalog, weights: DataFrame, timestep_duration: float | None = None
     at = ["location", "carrier", "rep_period", "timestep"]
     balance = c.balance_constraint_view.groupBy(*at, "demand_profile", "peak_demand").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     key = _key("balance", *map(F.col, at), F.col("demand_profile"), F.col("peak_demand"), F.col("k"))
-    rows.append(_row(balance, key, "=", F.col("demand_profile") * F.col("peak_demand")))
+    rows.append(_rows(balance, (key, "=", F.col("demand_profile") * F.col("peak_demand"))))
     moved = _union([
         c.power_out_expression_view.select("location", F.col("carrier_out").alias("carrier"), F.lit("power_out").alias("name"), "id", F.lit(1.0).alias("a")),
         c.power_in_expression_view.select("location", F.col("carrier_in").alias("carrier"), F.lit("power_in").alias("name"), "id", F.lit(-1.0).alias("a")),
@@ -106,81 +111,66 @@ def build(c: Catalog, weights: DataFrame, timestep_duration: float | None = None
 
     # Charge within a period; what comes in and goes out is worth the duration of a step, inflow is not
     def charge(v, block, seasonal_, charges):
-        key = _key(block, i, r, t)
-        rows.append(_row(v, key, "=", F.col("inflow_profile") * F.col("peak_inflow") if seasonal_ else 0.0))
-        terms.append(_term(v, key, "state_of_charge_intra", 1.0, None, r, t))
-        terms.append(_term(v.where(t > 1), key, "state_of_charge_intra", -1.0, None, r, t - 1))
-        terms.append(_term(v.where(t == 1), key, "state_of_charge_intra_0", -1.0, None, r))
-        terms.append(_term(v, key, "power_out", F.try_divide(F.lit(dur), F.col("efficiency_out")), None, r, t))
+        key, later = _key(block, i, r, t), t > 1
+        before = F.when(later, "state_of_charge_intra").otherwise("state_of_charge_intra_0")
+        of = [(key, "state_of_charge_intra", 1.0, r, t), (key, before, -1.0, r, F.when(later, t - 1).otherwise(0)), (key, "power_out", F.try_divide(F.lit(dur), F.col("efficiency_out")), r, t)]
         if charges:
-            terms.append(_term(v, key, "power_in", -F.col("efficiency_in") * dur, None, r, t))
+            of.append((key, "power_in", -F.col("efficiency_in") * dur, r, t))
         if seasonal_:
-            terms.append(_term(v, key, "spillage", 1.0, None, r, t))
-            terms.append(_term(v, key, "borrow", -1.0, None, r, t))
+            of += [(key, "spillage", 1.0, r, t), (key, "borrow", -1.0, r, t)]
+        rows.append(_rows(v, (key, "=", F.col("inflow_profile") * F.col("peak_inflow") if seasonal_ else 0.0)))
+        terms.append(_terms(v, *of))
 
     charge(c.intra_period_short_term_storage_constraint_view, "short", False, True)
     charge(c.intra_period_seasonal_storage_can_charge_constraint_view, "charging", True, True)
     charge(c.intra_period_seasonal_storage_cannot_charge_constraint_view, "inflow", True, False)
 
     # Between periods
-    d = F.col("period")
+    d, w = F.col("period"), F.col("weight")
     level = seasonal.select("id").crossJoin(c.periods.select(F.col("id").alias("period")))
-    key = _key("inter", i, d)
-    rows.append(_row(level, key, "=", 0.0))
-    terms.append(_term(level, key, "state_of_charge_inter", 1.0, None, None, d))
-    terms.append(_term(level.where(d > 1), key, "state_of_charge_inter", -1.0, None, None, d - 1))
-    terms.append(_term(level.where(d == 1), key, "state_of_charge_inter_0", -1.0))
-    blended = level.join(weights, "period")
-    terms.append(_term(blended, key, "state_of_charge_intra", -F.col("weight"), None, r, F.lit(last)))
-    terms.append(_term(blended, key, "state_of_charge_intra_0", F.col("weight"), None, r))
+    key, later = _key("inter", i, d), d > 1
+    before = F.when(later, "state_of_charge_inter").otherwise("state_of_charge_inter_0")
+    rows.append(_rows(level, (key, "=", 0.0)))
+    terms.append(_terms(level, (key, "state_of_charge_inter", 1.0, 0, d), (key, before, -1.0, 0, F.when(later, d - 1).otherwise(0))))
+    terms.append(_terms(level.join(weights, "period"), (key, "state_of_charge_intra", -w, r, last), (key, "state_of_charge_intra_0", w, r)))
 
     # Where a period, or the whole, ends as it began
-    key = _key("cycle", i)
-    rows.append(_row(seasonal, key, "=", 0.0))
-    terms.append(_term(seasonal, key, "state_of_charge_inter", 1.0, None, None, F.lit(n_periods)))
-    terms.append(_term(seasonal, key, "state_of_charge_inter_0", -1.0))
+    cycle, initial, final = (_key(k, i) for k in ("cycle", "initial", "final"))
+    rows.append(_rows(seasonal, (cycle, "=", 0.0), (initial, "=", F.col("initial_storage_level")), (final, "=", 0.0)))
+    terms.append(_terms(seasonal, (cycle, "state_of_charge_inter", 1.0, 0, n_periods), (cycle, "state_of_charge_inter_0", -1.0), (initial, "state_of_charge_inter_0", 1.0), (final, "state_of_charge_inter", 1.0, 0, n_periods)))
+    terms.append(_terms(seasonal.select("id").crossJoin(weights.where(d == n_periods)), (final, "state_of_charge_intra", -w, r, last)))
     within = short.select("id").crossJoin(reps)
     key = _key("cycle", i, r)
-    rows.append(_row(within, key, "=", 0.0))
-    terms.append(_term(within, key, "state_of_charge_intra", 1.0, None, r, F.lit(last)))
-    terms.append(_term(within, key, "state_of_charge_intra_0", -1.0, None, r))
-    first = c.initial_storage_constraint_view
-    rows.append(_row(first, _key("initial", i), "=", F.col("initial_storage_level")))
-    terms.append(_term(first, _key("initial", i), "state_of_charge_inter_0", 1.0))
-    rows.append(_row(first, _key("final", i), "=", 0.0))
-    terms.append(_term(first, _key("final", i), "state_of_charge_inter", 1.0, None, None, F.lit(n_periods)))
-    terms.append(_term(first.crossJoin(weights.where(d == n_periods)), _key("final", i), "state_of_charge_intra", -F.col("weight"), None, r, F.lit(last)))
+    rows.append(_rows(within, (key, "=", 0.0)))
+    terms.append(_terms(within, (key, "state_of_charge_intra", 1.0, r, last), (key, "state_of_charge_intra_0", -1.0, r)))
 
     # conversion
     v = c.conversion_constraint_view
     key = _key("conversion", i, r, t)
-    rows.append(_row(v, key, "=", 0.0))
-    terms.append(_term(v, key, "power_in", F.col("efficiency_in"), None, r, t))
-    terms.append(_term(v, key, "power_out", -F.try_divide(F.lit(1.0), F.col("efficiency_out")), None, r, t))
+    rows.append(_rows(v, (key, "=", 0.0)))
+    terms.append(_terms(v, (key, "power_in", F.col("efficiency_in"), r, t), (key, "power_out", -F.try_divide(F.lit(1.0), F.col("efficiency_out")), r, t)))
 
     # Limits by capacity, which investments extend
     chosen = c.tables["investments"].select("id", F.lit(True).alias("investable")).distinct()
     sized = assets.join(chosen, "id", "left").select("id", "unit_capacity", (F.col("unit_capacity") * F.col("initial_units")).alias("there"), F.coalesce("investable", F.lit(False)).alias("investable"))
 
-    def limit(v, key, share, moves):
-        rows.append(_row(v, key, "<", share * F.col("there")))
-        terms.append(_term(v.where("investable"), key, "invested_units", -share * F.col("unit_capacity")))
-        terms.extend(_term(v, key, name, a, None, r_, t_) for name, a, r_, t_ in moves)
+    def limit(v, share, *each):
+        """Rows and terms of v's limits, each with its key and the moves that it holds down."""
+        built = F.when(F.col("investable"), -share * F.col("unit_capacity"))
+        rows.append(_rows(v, *((key, "<", share * F.col("there")) for key, _ in each)))
+        terms.append(_terms(v, *((key, "invested_units", built) for key, _ in each), *((key, *m) for key, moves in each for m in moves)))
 
     v = c.capacity_constraint_view.drop("investable", "unit_capacity", "initial_units").join(sized, "id")
-    limit(v, _key("capacity", i, r, t), F.col("availability_profile"), [("power_out", 1.0, r, t)])
+    limit(v, F.col("availability_profile"), (_key("capacity", i, r, t), [("power_out", 1.0, r, t)]))
     v = short.select("id").unionByName(charging.select("id")).crossJoin(grid).join(sized, "id")
-    limit(v, _key("charging_capacity", i, r, t), F.lit(1.0), [("power_in", 1.0, r, t)])
+    limit(v, F.lit(1.0), (_key("charging_capacity", i, r, t), [("power_in", 1.0, r, t)]))
     v = c.intra_period_ramping_constraint_view.join(sized, "id")
-    for up in (1.0, -1.0):
-        limit(v, _key(f"ramp{up:+.0f}", i, r, t), F.col("ramping_rate") * dur, [("power_out", up, r, t), ("power_out", -up, r, t - 1)])
+    limit(v, F.col("ramping_rate") * dur, *((_key(f"ramp{up:+.0f}", i, r, t), [("power_out", up, r, t), ("power_out", -up, r, t - 1)]) for up in (1.0, -1.0)))
     v = c.inter_period_ramping_constraint_view.join(sized, "id")
-    for up in (1.0, -1.0):
-        key = _key(f"inter_ramp{up:+.0f}", i, d)
-        limit(v, key, F.col("ramping_rate") * dur, [])
-        terms.append(_term(v.join(weights, "period"), key, "power_out", up * F.col("weight"), None, r, F.lit(1)))
-        before = weights.select((d + 1).alias("period"), "rep_period", "weight")
-        terms.append(_term(v.join(before, "period"), key, "power_out", -up * F.col("weight"), None, r, F.lit(last)))
+    keys = {up: _key(f"inter_ramp{up:+.0f}", i, d) for up in (1.0, -1.0)}
+    limit(v, F.col("ramping_rate") * dur, *((key, []) for key in keys.values()))
+    steps = weights.select("period", "rep_period", "weight", F.lit(1).alias("at")).unionByName(weights.select((d + 1).alias("period"), "rep_period", (-w).alias("weight"), F.lit(last).alias("at")))
+    terms.append(_terms(v.select("id", "period").join(steps, "period"), *((key, "power_out", up * w, r, F.col("at")) for up, key in keys.items())))
 
     summed = _union(terms).groupBy("row", *VAR).agg(F.sum("a").alias("a")).where("a <> 0")
     return Programme(variables, _union(rows), summed)
