@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsreduce.llm import chat_format, exact_dedup, license_scan, ngram_join, packing, piece_encode, quality_rules, substring_dedup, url_filter, warc_revisit
+from tsreduce.llm import chat_format, embedding_dedup, exact_dedup, license_scan, ngram_join, packing, piece_encode, quality_rules, substring_dedup, url_filter, warc_revisit
 from tsreduce.llm.shared import table
 
 #: Fixed values of the URL query.
@@ -92,8 +92,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_piece_encode, op4_quality_rules, op5_ngram_join, op6_substring_dedup, op7_warc_revisit, op8_exact_dedup, op9_url_filter, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_piece_encode, op4_quality_rules, op5_ngram_join, op6_substring_dedup, op7_warc_revisit, op8_exact_dedup, op9_url_filter, op10_packing, op11_embedding_dedup)}
 
 
 #: Words are what ASCII white space divides.
@@ -175,5 +179,17 @@ SELECT record_id, "at", kind, resolution, CASE WHEN kind = 'revisit' THEN f.id E
   sha256(CASE WHEN resolution = 'resolved' THEN f.payload ELSE payload END) AS payload_sha256 FROM met"""
 
 
+# all pairs by brute force, and the smallest id that links reach
+OP11_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fine AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON l.x = r.other),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counted AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v LEFT JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)"""
+
+
 def oracle_sql() -> dict:
-    return {"op7_warc_revisit": OP7_SQL, "op2_chat_format": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op11_embedding_dedup": OP11_SQL, "op7_warc_revisit": OP7_SQL, "op2_chat_format": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
