@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsreduce.llm import chat_format, embedding_dedup, exact_dedup, license_scan, ngram_join, packing, piece_encode, quality_rules, substring_dedup, url_filter, warc_revisit
+from tsreduce.llm import chat_format, embedding_dedup, exact_dedup, importance, license_scan, ngram_join, packing, phrases, piece_encode, quality_rules, substring_dedup, url_filter, warc_revisit
 from tsreduce.llm.shared import table
 
 #: Fixed values of the URL query.
@@ -96,8 +96,16 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_piece_encode, op4_quality_rules, op5_ngram_join, op6_substring_dedup, op7_warc_revisit, op8_exact_dedup, op9_url_filter, op10_packing, op11_embedding_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_piece_encode, op4_quality_rules, op5_ngram_join, op6_substring_dedup, op7_warc_revisit, op8_exact_dedup, op9_url_filter, op10_packing, op11_embedding_dedup, op12_phrase_mining, op13_importance_sample)}
 
 
 #: Words are what ASCII white space divides.
@@ -191,5 +199,21 @@ SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_i
 FROM v LEFT JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)"""
 
 
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+runs AS (SELECT lang, list_slice(ws, i, i + k - 1) AS g FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM worded, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, g, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 30),
+candidates AS (SELECT * FROM f WHERE len(g) > 1),
+cuts AS (SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.a + y.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM candidates) c JOIN f x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k) JOIN f y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, len(c.g))),
+scored AS (SELECT lang, g, a, arg_min(struct_pack(l := l, r := r, score := score), struct_pack(score := score, k := k)) AS cut FROM cuts GROUP BY lang, g, a),
+inner_ AS (SELECT lang, sub, max(a) AS over_ FROM (SELECT lang, a, list_slice(g, s, s + m - 1) AS sub FROM (SELECT lang, a, g, m, unnest(range(1, len(g) - m + 2)) AS s FROM (SELECT lang, a, g, unnest(range(2, len(g))) AS m FROM candidates))) GROUP BY ALL),
+kept AS (SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM scored s LEFT JOIN inner_ i ON i.lang = s.lang AND i.sub = s.g WHERE over_ IS NULL OR 100 * CAST(over_ AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, phrase) AS rank FROM kept),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM worded GROUP BY lang)
+SELECT lang, rank, phrase, a, cut.l AS l, cut.r AS r, n, cut.score AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict:
-    return {"op11_embedding_dedup": OP11_SQL, "op7_warc_revisit": OP7_SQL, "op2_chat_format": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op12_phrase_mining": OP12_SQL, "op11_embedding_dedup": OP11_SQL, "op7_warc_revisit": OP7_SQL, "op2_chat_format": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
