@@ -224,9 +224,9 @@ def test_incomplete_last_period(profile):
 @pytest.mark.parametrize("kind", ["convex", "conical", "conical_bounded", "dirac"])
 def test_fitted_weights(profile, kind):
     found = clustering.find_representative_periods(profile, 3, method=clustering.method_for("hull", kind))
-    before = weights.projection_error(found.features, found.weights, found.rp_matrix)
+    before = weights.projection_error(found.features, found.weights, found.representatives)
     fitted = weights.fit_weights(found, kind)
-    assert weights.projection_error(found.features, fitted, found.rp_matrix) <= before + 0.05
+    assert weights.projection_error(found.features, fitted, found.representatives) <= before + 0.05
     sums = [r[0] for r in fitted.groupBy("period").agg(F.sum("weight")).select("sum(weight)").collect()]
     if kind in ("convex", "dirac"):
         assert np.allclose(sums, 1)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tsreduce.sources.scratch import Scratch
 
 
 def onto_simplex(v: np.ndarray) -> np.ndarray:
@@ -25,12 +26,35 @@ def onto_orthant(v: np.ndarray) -> np.ndarray:
     return np.maximum(v, 0.0)
 
 
-def project_rows(rows: DataFrame, by: str, index: str, value: str) -> DataFrame:
-    """Each vector of a long table (by, index, value) onto the simplex, in the sorted form: (by, index, weight)."""
-    order = Window.partitionBy(by).orderBy(F.desc(value), index)
-    ranked = rows.select(by, index, value, F.row_number().over(order).alias("k"), F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
-    shift = ranked.withColumn("tau", (F.col("s") - 1) / F.col("k")).where(F.col(value) > F.col("tau")).groupBy(by).agg(F.max_by("tau", "k").alias("tau"))
-    return ranked.join(shift, by).select(by, index, F.greatest(F.col(value) - F.col("tau"), F.lit(0.0)).alias("weight"))
+def project_rows(rows: DataFrame, by: str, index: str, value: str, *, scratch: Scratch | None = None, max_rounds: int = 200) -> DataFrame:
+    """Each vector of a long table (by, index, value) onto the simplex: (by, index, weight).
+
+    The threshold of a vector is (sum - 1) / n of the values above the threshold before, until none falls below it. Each
+    round is one filter and one aggregate, so a vector may be larger than any task; sums are pre-aggregated. A vector of
+    one value gets weight one; nulls count for nothing and get none. Rounds end as each leaves out a value of every vector
+    that goes on, and in practice after a few; the thresholds between rounds are a table.
+    """
+    own = Scratch(rows.sparkSession)
+    values = rows.select(by, index, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
+
+    def threshold(kept: DataFrame) -> DataFrame:
+        return kept.groupBy(by).agg(((F.sum("__v") - 1) / F.count(F.lit(1))).alias("__tau"), F.count(F.lit(1)).alias("__n"))
+
+    now = own.store(threshold(values))
+    for _ in range(max_rounds):
+        above = threshold(values.join(now.select(by, "__tau"), by).where("__v > __tau").drop("__tau"))
+        # a threshold never falls, so rounding can't bring a value back
+        after = own.store(above.withColumnRenamed("__tau", "__new").join(now.select(by, "__tau"), by).select(by, F.greatest("__new", "__tau").alias("__tau"), "__n"))
+        done = after.join(now.select(by, F.col("__n").alias("__before")), by).where("__n < __before").isEmpty()
+        own.drop(now)
+        now = after
+        if done:
+            break
+    else:
+        raise RuntimeError(f"thresholds have not settled in {max_rounds} rounds")
+    if scratch is not None:
+        scratch.adopt(own)
+    return values.join(now.select(by, "__tau"), by).select(by, index, F.greatest(F.col("__v") - F.col("__tau"), F.lit(0.0)).alias("weight"))
 
 
 def orthant_rows(rows: DataFrame, value: str) -> DataFrame:
@@ -54,3 +78,37 @@ def descend(x: np.ndarray, subgradient: Callable, projection: Callable, *, niter
             break
         x = after
     return x
+
+
+def onto_simplex_rows(v: np.ndarray) -> np.ndarray:
+    """onto_simplex of each row."""
+    if v.shape[1] == 1:
+        return np.ones_like(v)
+    u = -np.sort(-v, axis=1)
+    over = np.cumsum(u, axis=1) - 1
+    rank = np.arange(1, v.shape[1] + 1)
+    k = v.shape[1] - 1 - np.argmax((u * rank > over)[:, ::-1], axis=1)
+    return np.maximum(v - (np.take_along_axis(over, k[:, None], 1) / (k[:, None] + 1)), 0.0)
+
+
+def descend_rows(x: np.ndarray, gram: np.ndarray, products: np.ndarray, projection: Callable, *, niters: int = 1000, tol: float = 1e-5, learning_rate: float = 1e-3, adaptive: bool = False) -> np.ndarray:
+    """descend for every row of x at once: weights of points whose products with one another are gram, and with each row's target products.
+
+    A row that has ended stays as it is while the others go on.
+    """
+    x = projection(np.asarray(x, float))
+    seen = np.zeros_like(x)
+    on = np.arange(len(x))
+    for _ in range(niters):
+        if not len(on):
+            break
+        g = x[on] @ gram - products[on]
+        rate = learning_rate
+        if adaptive:
+            seen[on] += g * g
+            rate = learning_rate / (1e-6 + np.sqrt(seen[on]))
+        after = projection(x[on] - rate * g)
+        going = (after - x[on]).max(1) > tol / niters
+        on = on[going]
+        x[on] = after[going]
+    return x

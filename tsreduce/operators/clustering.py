@@ -1,23 +1,27 @@
 """Representative periods.
 
-Periods are rows (period, features). Only what the number of representatives bounds is gathered on the driver, but for
-k-medoids and the centre-based seeds, which need the matrix of all periods: periods are days of a year or of a few.
+Periods are tiles of cells (see tiles.py), representatives are rows (rep_period, block, x). The driver gets one row a
+round, or as many numbers as the number of representatives bounds; what a round leaves for the next is a table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsreduce.functions import metrics
-from tsreduce.functions.projections import descend, onto_simplex
-from tsreduce.operators.reshape import append_period, key_columns, to_features, to_long
+from tsreduce.functions.projections import descend_rows, onto_simplex_rows
+from tsreduce.operators import tiles
+from tsreduce.operators.reshape import append_period, key_columns
+from tsreduce.operators.tiles import Tiles
+from tsreduce.sources.scratch import Scratch
 
-#: Periods whose matrix of distances may be held on the driver.
+#: Periods that matrix() gathers for a look at them.
 MOST_PERIODS = 20_000
 WEIGHTS = "period long, rep_period long, weight double"
 
@@ -32,12 +36,25 @@ class Auxiliary:
 
 @dataclass
 class ClusteringResult:
-    """profiles (rep_period, keys, value), weights (period, rep_period, weight), features of periods, and the matrix of representatives by row."""
+    """profiles (rep_period, keys, value), weights (period, rep_period, weight), the tiles of the periods, and representatives (rep_period, block, x).
+
+    What they are read from is kept until release().
+    """
 
     profiles: DataFrame
     weights: DataFrame
-    features: DataFrame | None = None
-    rp_matrix: np.ndarray | None = None
+    features: Tiles | None = None
+    representatives: DataFrame | None = None
+    scratch: Scratch | None = None
+
+    @cached_property
+    def rp_matrix(self) -> np.ndarray:
+        """A row for each representative, for a look at them."""
+        return gathered(self.representatives)
+
+    def release(self) -> None:
+        if self.scratch is not None:
+            self.scratch.close()
 
 
 def auxiliary(df: DataFrame) -> Auxiliary:
@@ -61,161 +78,221 @@ def method_for(clustering_type: str, weight_type: str) -> str:
     return {"conical": "conical_hull", "conical_bounded": "convex_hull_with_null"}.get(weight_type, "convex_hull")
 
 
-def matrix(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(periods, a row of features for each), in order of period."""
-    rows = features.orderBy("period").limit(MOST_PERIODS + 1).collect()
-    if len(rows) > MOST_PERIODS:
-        raise ValueError(f"more than {MOST_PERIODS} periods: this method needs the distances of all")
-    return np.array([r["period"] for r in rows]), np.array([r["features"] for r in rows], float)
+def gathered(representatives: DataFrame) -> np.ndarray:
+    rows = representatives.groupBy("rep_period").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "x"))), lambda c: c["x"])).alias("x")).orderBy("rep_period").collect()
+    return np.array([r["x"] for r in rows], float)
 
 
-def nearest(features: DataFrame, reps: np.ndarray, metric: str) -> DataFrame:
-    """(period, rep_period): the nearest of the representatives, of equals the first."""
+def matrix(t: Tiles) -> tuple[np.ndarray, np.ndarray]:
+    """(periods, a row of features for each), in order of period, of a few periods."""
+    if t.n_periods > MOST_PERIODS:
+        raise ValueError(f"more than {MOST_PERIODS} periods")
+    return np.array(sorted(r["period"] for r in t.periods.collect()), np.int64), gathered(t.cells.withColumnRenamed("period", "rep_period"))
 
-    def assign(frames):
-        for f in frames:
-            d = metrics.pairwise(metric, np.stack(f["features"].to_list()).astype(float), reps) if len(f) else np.zeros((0, 1))
-            yield pd.DataFrame({"period": f["period"], "rep_period": np.where(np.isnan(d), -np.inf, d).argmin(1) + 1})
 
-    return features.mapInPandas(assign, "period long, rep_period long")
+def periods_as_reps(t: Tiles, periods: list[int]) -> DataFrame:
+    """These periods as representatives, in this order."""
+    chosen = t.cells.sparkSession.createDataFrame([(k + 1, int(p)) for k, p in enumerate(periods)], "rep_period long, period long")
+    return t.cells.join(chosen, "period").select("rep_period", "block", "x")
 
 
-def centre_seeds(distances: np.ndarray, k: int) -> np.ndarray:
-    """The k points of the smallest sum over i of d(i, j) / sum over l of d(i, l); of equals the first."""
-    total = distances.sum(1, keepdims=True)
-    share = np.divide(distances, total, out=np.zeros_like(distances), where=total > 0)
-    return np.argsort(share.sum(0), kind="stable")[:k]
+def _nearest_of(d: Column) -> Column:
+    """The place of the smallest distance, from 1; NaN is smaller than all, and of equals the first counts."""
+    low = F.transform(d, lambda x: F.when(F.isnan(x), F.lit(float("-inf"))).otherwise(x))
+    return F.array_position(low, F.array_min(low)).cast("long")
 
 
-def k_means(features: DataFrame, k: int, metric: str, *, max_rounds: int = 100) -> tuple[np.ndarray, DataFrame]:
-    """Lloyd's rounds from the centre-based seeds (squared Euclidean costs); a centre without periods stays where it is."""
-    _, x = matrix(features)
-    square = (x * x).sum(1)
-    centres = x[centre_seeds(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0), k)].copy()
-    before = None
-    for _ in range(max_rounds):
-        d = metrics.pairwise(metric, x, centres)
-        own = np.where(np.isnan(d), -np.inf, d).argmin(1)
-        if before is not None and (own == before).all():
-            break
-        for j in np.unique(own):
-            centres[j] = x[own == j].mean(0)
-        before = own
-    return centres, nearest(features, centres, metric)
+def nearest(t: Tiles, representatives: DataFrame, metric: str) -> DataFrame:
+    """(period, rep_period): the nearest of the representatives, of equals the first."""
+    return tiles.measures(t, representatives, metric).select("period", _nearest_of(F.col("d")).alias("rep_period"))
 
 
-def k_medoids(features: DataFrame, k: int, metric: str, *, max_rounds: int = 200) -> tuple[np.ndarray, DataFrame]:
-    """Alternate assignment and the choice of each cluster's cheapest member, from the centre-based seeds."""
-    _, x = matrix(features)
-    d = metrics.pairwise(metric, x, x)
-    medoids = centre_seeds(d, k)
-    for _ in range(max_rounds):
-        own = d[:, medoids].argmin(1)
-        moved = np.array([members[d[np.ix_(members, members)].sum(0).argmin()] if len(members := np.flatnonzero(own == j)) else medoids[j] for j in range(len(medoids))])
-        if (moved == medoids).all():
-            break
-        medoids = moved
-    return x[medoids], nearest(features, x[medoids], metric)
+def _smallest(costs: DataFrame, k: int) -> list[int]:
+    return [r["period"] for r in costs.orderBy("v", "period").limit(k).collect()]
 
 
-def greedy_hull(features: DataFrame, n_points: int, metric: str, *, fixed: np.ndarray | None = None, mean: np.ndarray | None = None) -> list[tuple[int, np.ndarray]]:
-    """(period, features) of the hull: the first is farthest from the mean, each next one farthest from the hull so far.
+def k_means_seeds(t: Tiles, k: int, scratch: Scratch) -> list[int]:
+    """The k periods of the smallest sum over i of d(i, j) / S(i), S(i) the sum over l of d(i, l), for squared Euclidean distances d.
 
-    fixed: a first hull point that is no period (it is not returned). A period's distance is kept from an earlier round
-    if the point added last is not nearer. Distances of a round are found where the periods lie; the driver gets each
-    period's distance and keeps those of the rounds before.
+    With sums over all periods alone: d(i, j) = q(i) + q(j) - 2 x(i) x(j), q the square of a period, so S(i) = n q(i) + Q - 2 x(i) s
+    with the sums Q and s of squares and of vectors, and the cost of j is A + q(j) B - 2 x(j) C with A, B and C the sums
+    of q / S, 1 / S and x / S. If no two periods differ, all cost nothing.
     """
-    if fixed is None:
-        if mean is None:
-            width = len(features.first()["features"])
-            mean = np.array(features.select([F.avg(F.col("features")[i]) for i in range(width)]).first(), float)
-        far = _distances(features, lambda x: metrics.to_rows(metric, x, mean), {})
-        first = min(far, key=lambda p: (-np.inf if np.isnan(far[p]) else -far[p], p))
-        hull = [(first, _vector(features, first))]
-    else:
-        hull = [(0, fixed)]
-    kept: dict[int, float] = {}
-    while len(hull) < n_points:
-        points = np.stack([v for _, v in hull])
-        inverse, taken, last = np.linalg.pinv(points.T), {p for p, _ in hull}, points[-1]
+    ones = t.periods.select("period", F.lit(1).alias("rep_period"), F.lit(1.0).alias("weight"))
+    zero = F.transform("x", lambda x: x * 0.0)
+    total = scratch.store(tiles.sums(t, ones))
+    nothing = total.select(F.lit(0).alias("rep_period"), "block", zero.alias("x"))
+    # the distance to zero is the root of the square
+    both = tiles.measures(t, total, "dot").select("period", F.col("d")[0].alias("xs")).join(tiles.measures(t, nothing, "euclidean").select("period", (F.col("d")[0] * F.col("d")[0]).alias("q")), "period")
+    both = scratch.store(both)
+    n, q = both.agg(F.count(F.lit(1)), F.sum("q")).first()
+    share = F.col("q") * n + F.lit(q) - 2 * F.col("xs")
+    # what rounding leaves of nothing counts as nothing
+    shares = scratch.store(both.select("period", "q", F.when(share > 1e-12 * F.lit(q), 1 / share).otherwise(0.0).alias("weight")))
+    a, b = shares.agg(F.sum(F.col("q") * F.col("weight")), F.sum("weight")).first()
+    c = scratch.store(tiles.sums(t, shares.select("period", F.lit(1).alias("rep_period"), "weight")))
+    costs = tiles.measures(t, c, "dot").join(shares, "period").select("period", F.round(F.lit(a) + F.col("q") * b - 2 * F.col("d")[0], 12).alias("v"))
+    seeds = _smallest(costs, k)
+    scratch.drop(total, both, shares, c)
+    return seeds
+
+
+def centre_seeds(t: Tiles, k: int, metric: str, scratch: Scratch, *, height: int = tiles.HEIGHT) -> list[int]:
+    """The k periods of the smallest sum over i of d(i, j) / sum over l of d(i, l); of equals the first."""
+    rows = scratch.store(tiles.pair_sums(t, metric, height=height))
+    shares = rows.select("period", F.lit(1).alias("rep_period"), F.when(F.col("s") > 0, 1 / F.col("s")).otherwise(0.0).alias("weight"))
+    costs = tiles.pair_sums(t, metric, shares, height=height).select("period", F.round("s", 12).alias("v"))
+    seeds = _smallest(costs, k)
+    scratch.drop(rows)
+    return seeds
+
+
+def k_means(t: Tiles, k: int, metric: str, scratch: Scratch, *, max_rounds: int = 100) -> DataFrame:
+    """Centres (rep_period, block, x) of Lloyd's rounds from the centre-based seeds; a centre without periods stays where it is.
+
+    A round sums the periods of each centre in every tile, and the tiles' sums; only centres go from round to round.
+    """
+    centres = scratch.store(periods_as_reps(t, k_means_seeds(t, k, scratch)))
+    for _ in range(max_rounds):
+        own = scratch.keep(nearest(t, centres, metric))
+        sizes = own.groupBy("rep_period").agg(F.count(F.lit(1)).alias("n"))
+        moved = tiles.sums(t, own.withColumn("weight", F.lit(1.0))).join(F.broadcast(sizes), "rep_period").select("rep_period", "block", F.transform("x", lambda v: v / F.col("n")).alias("x"))
+        left = centres.join(F.broadcast(sizes), "rep_period", "left_anti")
+        after = scratch.store(moved.unionByName(left))
+        still = after.join(centres.withColumnRenamed("x", "before"), ["rep_period", "block"]).where("x <> before").isEmpty()
+        scratch.drop(own, centres)
+        centres = after
+        if still:
+            break
+    return centres
 
-        def measure(x, points=points, inverse=inverse):
-            return np.array([_to_hull(v, points, inverse, metric) for v in x])
 
-        kept = _distances(features.where(~F.col("period").isin([int(p) for p in taken])), measure, kept, lambda x, last=last: metrics.to_rows(metric, x, last))
-        best = min((p for p in kept if not np.isnan(kept[p])), key=lambda p: (-kept[p], p), default=None)
-        if best is None:
-            raise ValueError("Point not found")
-        hull.append((best, _vector(features, best)))
-        kept.pop(best)
-    return hull[1 if fixed is not None else 0 :]
+def k_medoids(t: Tiles, k: int, metric: str, scratch: Scratch, *, max_rounds: int = 200, height: int = tiles.HEIGHT) -> list[int]:
+    """The periods found by turns of assignment and of each cluster's cheapest member, from the centre-based seeds. What a member costs is summed over pairs of parts."""
+    medoids = centre_seeds(t, k, metric, scratch, height=height)
+    for _ in range(max_rounds):
+        own = scratch.store(nearest(t, periods_as_reps(t, medoids), metric))
+        costs = tiles.pair_sums(t, metric, own.withColumn("weight", F.lit(1.0)), height=height).join(own, "period")
+        best = {r["rep_period"]: r["p"] for r in costs.groupBy("rep_period").agg(F.min_by("period", F.struct(F.round("s", 12), "period")).alias("p")).collect()}
+        moved = [best.get(j + 1, m) for j, m in enumerate(medoids)]
+        scratch.drop(own)
+        if moved == medoids:
+            break
+        medoids = moved
+    return medoids
 
 
-def _vector(features: DataFrame, period: int) -> np.ndarray:
-    return np.array(features.where(F.col("period") == int(period)).first()["features"], float)
+def mean(t: Tiles) -> DataFrame:
+    ones = t.periods.select("period", F.lit(1).alias("rep_period"), F.lit(1.0).alias("weight"))
+    return tiles.sums(t, ones).select("rep_period", "block", F.transform("x", lambda v: v / t.n_periods).alias("x"))
 
 
-def _to_hull(target: np.ndarray, points: np.ndarray, inverse: np.ndarray, metric: str) -> float:
-    x = descend(inverse @ target, lambda x: points @ (points.T @ x - target), onto_simplex)
-    return metrics.to_rows(metric, (points.T @ x)[None, :], target)[0]
+def _farthest(state: DataFrame) -> int | None:
+    """The period of the largest distance, of equals the first; NaN doesn't count."""
+    row = state.where("NOT isnan(d)").agg(F.min_by("period", F.struct(-F.col("d"), "period")).alias("p")).first()
+    return row["p"]
 
 
-def _distances(features: DataFrame, measure, kept: dict[int, float], to_last=None) -> dict[int, float]:
-    def of(frames):
-        for f in frames:
-            if not len(f):
-                continue
-            x, d = np.stack(f["features"].to_list()).astype(float), np.array([kept.get(p, np.inf) for p in f["period"]])
-            new = ~(to_last(x) >= d) if to_last is not None else np.ones(len(f), bool)
-            if new.any():
-                d[new] = measure(x[new])
-            yield pd.DataFrame({"period": f["period"], "d": d})
+def greedy_hull(t: Tiles, n_points: int, metric: str, scratch: Scratch, *, null: bool = False, centre: DataFrame | None = None) -> list[int]:
+    """The periods of the hull: the first is farthest from the centre (the mean of all), each next one farthest from the hull so far.
 
-    return {r["period"]: r["d"] for r in features.mapInPandas(of, "period long, d double").collect()}
+    null: the hull starts with zero, which is not returned. A period's distance is kept from an earlier round if the point
+    added last is not nearer. Between rounds there is a table (period, d, products with the hull's points); the driver gets
+    the next point and its products. The nearest place of the hull is found for a batch of periods at once.
+    """
+    hull: list[int] = []
+    if not null:
+        first = tiles.measures(t, mean(t) if centre is None else centre, metric).select("period", F.col("d")[0].alias("d"))
+        hull.append(_farthest(first))
+    # the products of the hull's points; those with zero are zero
+    gram = np.zeros((1, 1)) if null else np.zeros((0, 0))
+    state = scratch.store(t.periods.select("period", F.lit(float("inf")).alias("d"), (F.array(F.lit(0.0)) if null else F.array().cast("array<double>")).alias("b")))
+    zero = t.cells.where(F.col("period") == t.periods.first()["period"]).select(F.lit(0).cast("long").alias("rep_period"), "block", F.transform("x", lambda x: x * 0.0).alias("x"))
+    while len(hull) < n_points:
+        last = periods_as_reps(t, hull[-1:]) if hull else zero
+        told = tiles.measures(t, last, metric, "dot").select("period", F.col("d")[0].alias("to_last"), F.col("d")[1].alias("product"))
+        joined = state.join(told, "period")
+        if hull:
+            joined = joined.withColumn("b", F.concat("b", F.array("product")))
+        joined = scratch.store(joined)
+        if hull:
+            row = joined.where(F.col("period") == hull[-1]).first()
+            gram = np.pad(gram, ((0, 1), (0, 1)))
+            gram[-1, :] = gram[:, -1] = row["b"]
+        inverse = np.linalg.pinv(gram, hermitian=True)
+        points = periods_as_reps(t, hull)
+        if null:
+            points = points.withColumn("rep_period", F.col("rep_period") + 1).unionByName(zero.withColumn("rep_period", F.lit(1).cast("long")))
+        open_ = joined.where(~F.col("period").isin(hull)) if hull else joined
+        nearer = open_.where("to_last < d OR isnan(to_last) OR isnan(d)")
+
+        def blends(it, gram=gram, inverse=inverse):
+            for b in it:
+                if b.num_rows:
+                    products = tiles.matrix(pa.chunked_array([b.column("b")]))
+                    w = descend_rows(onto_simplex_rows(products @ inverse), gram, products, onto_simplex_rows)
+                    yield pa.RecordBatch.from_arrays([b.column("period"), tiles.lists(w)], ["period", "w"])
+
+        w = scratch.store(nearer.select("period", "b").mapInArrow(blends, "period long, w array<double>"))
+        new = tiles.residuals(t, points, w, metric).select("period", F.col("d")[0].alias("new"))
+        after = scratch.store(open_.join(new, "period", "left").select("period", F.coalesce("new", "d").alias("d"), "b").unionByName(joined.where(F.col("period").isin(hull)).select("period", F.lit(float("nan")).alias("d"), "b")))
+        scratch.drop(state, joined, w)
+        state = after
+        best = _farthest(state)
+        if best is None:
+            raise ValueError("Point not found")
+        hull.append(best)
+    scratch.drop(state)
+    return hull
 
 
-def find_representative_periods(df: DataFrame, n_rp: int, *, drop_incomplete_last_period: bool = False, method: str = "k_means", distance: str = "euclidean") -> ClusteringResult:
+def hull_periods(t: Tiles, n: int, method: str, metric: str, scratch: Scratch) -> list[int]:
+    if method == "convex_hull_with_null":
+        # no distance to zero is defined for the cosine
+        return greedy_hull(t, n, metric, scratch, null=metrics.parse(metric) != "cosine")
+    if method != "conical_hull":
+        return greedy_hull(t, n, metric, scratch)
+    middle = mean(t)
+    norm = float(np.sqrt(middle.select(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v).alias("q")).agg(F.sum("q")).first()[0]))
+    normal = scratch.store(middle.select("rep_period", "block", F.transform("x", lambda v: F.try_divide(v, F.lit(norm))).alias("x")))
+    along = tiles.measures(t, normal, "dot").select("period", F.col("d")[0].alias("along"))
+    cells = t.cells.join(along, "period").repartition("block", "part").select("block", "part", "period", F.transform("x", lambda v: v / F.when(F.col("along") != 0, F.col("along")).otherwise(F.lit(float("nan")))).alias("x"))
+    scaled = Tiles(scratch.keep(cells), t.places, t.width, t.parts, t.n_periods, t.n_places)
+    found = greedy_hull(scaled, n, "euclidean", scratch, centre=normal)
+    scratch.drop(scaled.cells, normal)
+    return found
+
+
+def find_representative_periods(df: DataFrame, n_rp: int, *, drop_incomplete_last_period: bool = False, method: str = "k_means", distance: str = "euclidean", width: int = tiles.WIDTH, height: int = tiles.HEIGHT, known: Tiles | None = None) -> ClusteringResult:
     """Representatives of (period, timestep, keys, value), and the weights that give each period its nearest one.
 
     An incomplete last period is left out of the search, as the last representative of its own unless it is dropped.
+    known: the tiles of the complete periods, where another search of the same periods has made them.
     """
     aux = auxiliary(df)
     incomplete = aux.last_period_duration != aux.period_duration
     own_last = incomplete and not drop_incomplete_last_period
     weight, last_weight = period_weights(aux.period_duration, aux.last_period_duration, aux.n_periods, drop_incomplete_last_period)
-    whole = df.where(F.col("period") < aux.n_periods) if incomplete else df
-    features, places = to_features(whole, aux.key_columns)
-    features = features.cache()
-    searched = n_rp - own_last
-    if method == "k_means":
-        reps, own = k_means(features, searched, distance)
-    elif method == "k_medoids":
-        reps, own = k_medoids(features, searched, distance)
-    elif method in ("convex_hull", "convex_hull_with_null", "conical_hull"):
-        reps = hull_representatives(features, searched, method, distance)
-        own = nearest(features, reps, distance)
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    spark = df.sparkSession
-    rp_rows = spark.createDataFrame([(i + 1, r.tolist()) for i, r in enumerate(reps)], "rep_period long, features array<double>")
-    profiles = to_long(rp_rows, places)
-    weights = own.select("period", "rep_period", F.lit(weight).alias("weight"))
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession)
+    try:
+        whole = df.where(F.col("period") < aux.n_periods) if incomplete else df
+        t = known or tiles.tile(whole, aux.key_columns, scratch=scratch, width=width, height=height)
+        searched = n_rp - own_last
+        if method == "k_means":
+            reps = k_means(t, searched, distance, scratch)
+        elif method == "k_medoids":
+            reps = periods_as_reps(t, k_medoids(t, searched, distance, scratch, height=height))
+        elif method in ("convex_hull", "convex_hull_with_null", "conical_hull"):
+            reps = periods_as_reps(t, hull_periods(t, searched, method, distance, scratch))
+        else:
+            raise ValueError(f"unknown method {method!r}")
+        reps = scratch.store(reps)
+        weights = scratch.store(nearest(t, reps, distance).select("period", "rep_period", F.lit(weight).alias("weight")))
+    except BaseException:
+        scratch.close()
+        raise
+    profiles = tiles.to_long(reps, t)
     if own_last:
         profiles = append_period(profiles, df, aux.n_periods, n_rp)
         weights = weights.unionByName(spark.createDataFrame([(aux.n_periods, n_rp, last_weight)], WEIGHTS))
-    return ClusteringResult(profiles, weights, features, reps)
-
-
-def hull_representatives(features: DataFrame, n: int, method: str, metric: str) -> np.ndarray:
-    width = len(features.first()["features"])
-    if method == "convex_hull_with_null":
-        zero = np.zeros(width)
-        if not np.isnan(metrics.to_rows(metric, _vector(features, features.agg(F.min("period")).first()[0])[None, :], zero)[0]):
-            return np.stack([v for _, v in greedy_hull(features, n + 1, metric, fixed=zero)])
-    if method != "conical_hull":
-        return np.stack([v for _, v in greedy_hull(features, n, metric)])
-    normal = np.array(features.select([F.avg(F.col("features")[i]) for i in range(width)]).first(), float)
-    normal /= np.linalg.norm(normal)
-    along = F.aggregate(F.zip_with("features", F.lit(normal.tolist()), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scaled = features.select("period", F.transform("features", lambda v: F.try_divide(v, along)).alias("features"))
-    return np.stack([_vector(features, p) for p, _ in greedy_hull(scaled, n, "euclidean", mean=normal)])
+    return ClusteringResult(profiles, weights, t, reps, scratch)

@@ -61,7 +61,7 @@ def run_experiment(tables: dict[str, DataFrame], e: Experiment, seed: int = 0, *
     found = find_representative_periods(profiles, e.n_rep_periods, method=method_for(e.clustering_type, e.weight_type), distance=e.distance)
     lap()
     weights = fit_weights(found, e.weight_type, niters=e.niters, learning_rate=e.learning_rate).cache()
-    error = projection_error(found.features, weights, found.rp_matrix)
+    error = projection_error(found.features, weights, found.representatives)
     lap()
     c = c.with_(rp_profiles=found.profiles.cache())
     p = build(c, weights)

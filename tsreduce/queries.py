@@ -10,13 +10,15 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsreduce.functions import metrics, projections
-from tsreduce.operators import clustering, reshape, weights
+from tsreduce.functions import projections
+from tsreduce.operators import clustering, reshape, tiles, weights
 from tsreduce.operators.views import VIEWS, Catalog
 from tsreduce.plans import lp
+from tsreduce.sources.scratch import Scratch
 
 PERIOD = 24
 SERIES = ("click", "error", "purchase", "signup", "view")
@@ -66,8 +68,9 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.split_into_periods(reshape.unpivot_wide(full), PERIOD)
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape.to_features(dense(spark, sf_dir))[0]
+def features(spark: SparkSession, sf_dir: str) -> tiles.Tiles:
+    """Tiles that are kept as long as the session, as the query's result reads them."""
+    return tiles.tile(dense(spark, sf_dir), scratch=Scratch(spark))
 
 
 #: SQL of each view over the base tables and the views before it.
@@ -148,9 +151,8 @@ def _view(name: str) -> Callable[[SparkSession, str], DataFrame]:
 CHOSEN = (1, 11, 21)
 
 
-def _reps(x: DataFrame) -> np.ndarray:
-    rows = {r["period"]: r["features"] for r in x.where(F.col("period").isin(*CHOSEN)).collect()}
-    return np.array([rows[p] for p in CHOSEN], float)
+def _reps(t: tiles.Tiles) -> DataFrame:
+    return clustering.periods_as_reps(t, list(CHOSEN))
 
 
 def unpivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,9 +168,9 @@ def combine_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long to vectors and back."""
-    x, places = reshape.to_features(dense(spark, sf_dir))
-    return reshape.to_long(x.withColumnRenamed("period", "rep_period"), places)
+    """Long to tiles and back."""
+    t = features(spark, sf_dir)
+    return tiles.to_long(t.cells.withColumnRenamed("period", "rep_period"), t)
 
 
 def append_period(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,27 +187,26 @@ def aux_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairwise(metric: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        x = features(spark, sf_dir)
-        pairs = x.select(F.col("period").alias("p"), F.col("features").alias("x")).crossJoin(x.select(F.col("period").alias("q"), F.col("features").alias("y")))
-        return pairs.select("p", "q", F.abs(F.round(metrics.column(metric, F.col("x"), F.col("y")), 5)).alias("d"))
+        return tiles.pairwise(features(spark, sf_dir), metric).select("p", "q", F.abs(F.round("d", 5)).alias("d"))
 
     return query
 
 
 def hull_first_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clustering.greedy_hull(features(spark, sf_dir), 1, "euclidean")
-    return spark.createDataFrame([(int(found[0][0]),)], "period long")
+    with Scratch(spark) as scratch:
+        found = clustering.greedy_hull(tiles.tile(dense(spark, sf_dir), scratch=scratch), 1, "euclidean", scratch)
+    return spark.createDataFrame([(found[0],)], "period long")
 
 
 def nearest_rep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = features(spark, sf_dir)
-    return clustering.nearest(x, _reps(x), "euclidean")
+    t = features(spark, sf_dir)
+    return clustering.nearest(t, _reps(t), "euclidean")
 
 
 def centre_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    periods, x = clustering.matrix(features(spark, sf_dir))
-    seeds = clustering.centre_seeds(metrics.pairwise("euclidean", x, x), 5)
-    return spark.createDataFrame([(int(periods[i]),) for i in seeds], "period long")
+    with Scratch(spark) as scratch:
+        seeds = clustering.centre_seeds(tiles.tile(dense(spark, sf_dir), scratch=scratch), 5, "euclidean", scratch)
+    return spark.createDataFrame([(p,) for p in seeds], "period long")
 
 
 def simplex_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,25 +222,27 @@ def orthant_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def descent_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One projected step from equal weights, for every period."""
-    x = features(spark, sf_dir)
-    r = _reps(x) / 100
-    step = lambda t: projections.descend(np.full(3, 1 / 3), lambda w: r @ (r.T @ w - t), projections.onto_orthant, niters=1, tol=-np.inf, learning_rate=1e-3)
+    t = features(spark, sf_dir)
+    reps = _reps(t)
+    gram = tiles.gram(t, reps) / 1e4
 
-    def rows(frames):
-        import pandas as pd
+    def rows(it):
+        for b in it:
+            if b.num_rows:
+                products = tiles.matrix(pa.chunked_array([b.column("d")])) / 1e4
+                w = projections.descend_rows(np.full((b.num_rows, 3), 1 / 3), gram, products, projections.onto_orthant, niters=1, tol=-np.inf, learning_rate=1e-3)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("period").to_numpy(), 3)), pa.array(np.tile([1, 2, 3], len(w))), pa.array(np.round(w.ravel(), 6))], ["period", "rep_period", "weight"])
 
-        for f in frames:
-            out = [(p, k + 1, round(w, 6)) for p, v in zip(f["period"], f["features"]) for k, w in enumerate(step(np.asarray(v) / 100))]
-            yield pd.DataFrame(out, columns=["period", "rep_period", "weight"])
-
-    return x.mapInPandas(rows, clustering.WEIGHTS)
+    return tiles.measures(t, reps, "dot").mapInArrow(rows, clustering.WEIGHTS)
 
 
 def projection_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = features(spark, sf_dir).cache()
-    r = _reps(x)
-    w = clustering.nearest(x, r, "euclidean").withColumn("weight", F.lit(1.0))
-    return spark.createDataFrame([(round(weights.projection_error(x, w, r), 4),)], "error double")
+    with Scratch(spark) as scratch:
+        t = tiles.tile(dense(spark, sf_dir), scratch=scratch)
+        reps = _reps(t)
+        w = clustering.nearest(t, reps, "euclidean").withColumn("weight", F.lit(1.0))
+        error = weights.projection_error(t, w, reps)
+    return spark.createDataFrame([(round(error, 4),)], "error double")
 
 
 def rp_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
