@@ -43,12 +43,13 @@ def project_rows(rows: DataFrame, by: str, index: str, value: str, *, scratch: S
     now = own.store(threshold(values))
     for _ in range(max_rounds):
         above = threshold(values.join(now.select(by, "__tau"), by).where("__v > __tau").drop("__tau"))
+        before = now.select(by, F.col("__tau").alias("__was"), F.col("__n").alias("__before"))
         # a threshold never falls, so rounding can't bring a value back
-        after = own.store(above.withColumnRenamed("__tau", "__new").join(now.select(by, "__tau"), by).select(by, F.greatest("__new", "__tau").alias("__tau"), "__n"))
-        done = after.join(now.select(by, F.col("__n").alias("__before")), by).where("__n < __before").isEmpty()
+        after = above.join(before, by).select(by, F.greatest("__tau", "__was").alias("__tau"), "__n", (F.col("__n") < F.col("__before")).alias("__on"))
+        after = own.store(after)
         own.drop(now)
         now = after
-        if done:
+        if now.where("__on").isEmpty():
             break
     else:
         raise RuntimeError(f"thresholds have not settled in {max_rounds} rounds")

@@ -119,21 +119,16 @@ def k_means_seeds(t: Tiles, k: int, scratch: Scratch) -> list[int]:
     of q / S, 1 / S and x / S. If no two periods differ, all cost nothing.
     """
     ones = t.periods.select("period", F.lit(1).alias("rep_period"), F.lit(1.0).alias("weight"))
-    zero = F.transform("x", lambda x: x * 0.0)
-    total = scratch.store(tiles.sums(t, ones))
-    nothing = total.select(F.lit(0).alias("rep_period"), "block", zero.alias("x"))
-    # the distance to zero is the root of the square
-    both = tiles.measures(t, total, "dot").select("period", F.col("d")[0].alias("xs")).join(tiles.measures(t, nothing, "euclidean").select("period", (F.col("d")[0] * F.col("d")[0]).alias("q")), "period")
-    both = scratch.store(both)
-    n, q = both.agg(F.count(F.lit(1)), F.sum("q")).first()
-    share = F.col("q") * n + F.lit(q) - 2 * F.col("xs")
+    told = scratch.store(tiles.measures(t, tiles.sums(t, ones), "dot", "square").select("period", F.col("d")[0].alias("xs"), F.col("d")[1].alias("q")))
+    square = told.agg(F.sum("q")).first()[0] or 0.0
+    share = F.col("q") * t.n_periods + F.lit(square) - 2 * F.col("xs")
     # what rounding leaves of nothing counts as nothing
-    shares = scratch.store(both.select("period", "q", F.when(share > 1e-12 * F.lit(q), 1 / share).otherwise(0.0).alias("weight")))
+    shares = told.select("period", "q", F.when(share > 1e-12 * square, 1 / share).otherwise(0.0).alias("weight"))
     a, b = shares.agg(F.sum(F.col("q") * F.col("weight")), F.sum("weight")).first()
-    c = scratch.store(tiles.sums(t, shares.select("period", F.lit(1).alias("rep_period"), "weight")))
+    c = tiles.sums(t, shares.select("period", F.lit(1).alias("rep_period"), "weight"))
     costs = tiles.measures(t, c, "dot").join(shares, "period").select("period", F.round(F.lit(a) + F.col("q") * b - 2 * F.col("d")[0], 12).alias("v"))
     seeds = _smallest(costs, k)
-    scratch.drop(total, both, shares, c)
+    scratch.drop(told)
     return seeds
 
 
@@ -154,17 +149,15 @@ def k_means(t: Tiles, k: int, metric: str, scratch: Scratch, *, max_rounds: int
     """
     centres = scratch.store(periods_as_reps(t, k_means_seeds(t, k, scratch)))
     for _ in range(max_rounds):
-        own = scratch.keep(nearest(t, centres, metric))
-        sizes = own.groupBy("rep_period").agg(F.count(F.lit(1)).alias("n"))
-        moved = tiles.sums(t, own.withColumn("weight", F.lit(1.0))).join(F.broadcast(sizes), "rep_period").select("rep_period", "block", F.transform("x", lambda v: v / F.col("n")).alias("x"))
-        left = centres.join(F.broadcast(sizes), "rep_period", "left_anti")
-        after = scratch.store(moved.unionByName(left))
-        still = after.join(centres.withColumnRenamed("x", "before"), ["rep_period", "block"]).where("x <> before").isEmpty()
-        scratch.drop(own, centres)
-        centres = after
+        own = nearest(t, centres, metric).withColumn("weight", F.lit(1.0))
+        moved = tiles.sums(t, own).select("rep_period", "block", F.transform("x", lambda v: v / F.col("n")).alias("new"))
+        after = centres.join(moved, ["rep_period", "block"], "left").select("rep_period", "block", F.coalesce("new", "x").alias("x"), (F.coalesce("new", "x") != F.col("x")).alias("moved"))
+        after = scratch.store(after)
+        scratch.drop(centres)
+        centres, still = after, after.where("moved").isEmpty()
         if still:
             break
-    return centres
+    return centres.drop("moved")
 
 
 def k_medoids(t: Tiles, k: int, metric: str, scratch: Scratch, *, max_rounds: int = 200, height: int = tiles.HEIGHT) -> list[int]:
@@ -187,61 +180,58 @@ def mean(t: Tiles) -> DataFrame:
     return tiles.sums(t, ones).select("rep_period", "block", F.transform("x", lambda v: v / t.n_periods).alias("x"))
 
 
-def _farthest(state: DataFrame) -> int | None:
-    """The period of the largest distance, of equals the first; NaN doesn't count."""
-    row = state.where("NOT isnan(d)").agg(F.min_by("period", F.struct(-F.col("d"), "period")).alias("p")).first()
-    return row["p"]
+def _farthest(state: DataFrame):
+    """The row of the largest distance, of equals the first period; NaN doesn't count."""
+    return state.where("NOT isnan(d)").agg(F.min_by(F.struct("period", "b", "q"), F.struct(-F.col("d"), "period")).alias("row")).first()["row"]
 
 
 def greedy_hull(t: Tiles, n_points: int, metric: str, scratch: Scratch, *, null: bool = False, centre: DataFrame | None = None) -> list[int]:
     """The periods of the hull: the first is farthest from the centre (the mean of all), each next one farthest from the hull so far.
 
     null: the hull starts with zero, which is not returned. A period's distance is kept from an earlier round if the point
-    added last is not nearer. Between rounds there is a table (period, d, products with the hull's points); the driver gets
-    the next point and its products. The nearest place of the hull is found for a batch of periods at once.
+    added last is not nearer. Between rounds there is a table (period, d, products with the hull's points, square); the
+    driver gets the next point's row. The nearest place of the hull is found for a batch of periods at once.
     """
     hull: list[int] = []
-    if not null:
-        first = tiles.measures(t, mean(t) if centre is None else centre, metric).select("period", F.col("d")[0].alias("d"))
-        hull.append(_farthest(first))
-    # the products of the hull's points; those with zero are zero
+    middle = tiles.zero(t) if null else mean(t) if centre is None else centre
+    begun = tiles.measures(t, middle, metric, "square").select("period", F.col("d")[0].alias("d"), F.array().cast("array<double>").alias("b"), F.col("d")[1].alias("q"))
+    state = scratch.store(begun)
     gram = np.zeros((1, 1)) if null else np.zeros((0, 0))
-    state = scratch.store(t.periods.select("period", F.lit(float("inf")).alias("d"), (F.array(F.lit(0.0)) if null else F.array().cast("array<double>")).alias("b")))
-    zero = t.cells.where(F.col("period") == t.periods.first()["period"]).select(F.lit(0).cast("long").alias("rep_period"), "block", F.transform("x", lambda x: x * 0.0).alias("x"))
+    if not null:
+        first = _farthest(state)
+        hull, gram = [first["period"]], np.array([[first["q"]]])
+    state_d, last = F.lit(float("inf")), tiles.zero(t) if null else periods_as_reps(t, hull)
     while len(hull) < n_points:
-        last = periods_as_reps(t, hull[-1:]) if hull else zero
-        told = tiles.measures(t, last, metric, "dot").select("period", F.col("d")[0].alias("to_last"), F.col("d")[1].alias("product"))
-        joined = state.join(told, "period")
-        if hull:
-            joined = joined.withColumn("b", F.concat("b", F.array("product")))
-        joined = scratch.store(joined)
-        if hull:
-            row = joined.where(F.col("period") == hull[-1]).first()
-            gram = np.pad(gram, ((0, 1), (0, 1)))
-            gram[-1, :] = gram[:, -1] = row["b"]
+        told = tiles.measures(t, last, metric, "dot").select("period", F.col("d")[0].alias("to_last"), F.array(F.col("d")[1]).alias("product"))
+        joined = state.withColumn("d", state_d).join(told, "period")
+        joined = joined.where(~F.col("period").isin(hull)) if hull else joined
         inverse = np.linalg.pinv(gram, hermitian=True)
-        points = periods_as_reps(t, hull)
-        if null:
-            points = points.withColumn("rep_period", F.col("rep_period") + 1).unionByName(zero.withColumn("rep_period", F.lit(1).cast("long")))
-        open_ = joined.where(~F.col("period").isin(hull)) if hull else joined
-        nearer = open_.where("to_last < d OR isnan(to_last) OR isnan(d)")
 
         def blends(it, gram=gram, inverse=inverse):
             for b in it:
                 if b.num_rows:
-                    products = tiles.matrix(pa.chunked_array([b.column("b")]))
-                    w = descend_rows(onto_simplex_rows(products @ inverse), gram, products, onto_simplex_rows)
-                    yield pa.RecordBatch.from_arrays([b.column("period"), tiles.lists(w)], ["period", "w"])
-
-        w = scratch.store(nearer.select("period", "b").mapInArrow(blends, "period long, w array<double>"))
-        new = tiles.residuals(t, points, w, metric).select("period", F.col("d")[0].alias("new"))
-        after = scratch.store(open_.join(new, "period", "left").select("period", F.coalesce("new", "d").alias("d"), "b").unionByName(joined.where(F.col("period").isin(hull)).select("period", F.lit(float("nan")).alias("d"), "b")))
-        scratch.drop(state, joined, w)
-        state = after
+                    products = np.concatenate([tiles.matrix(pa.chunked_array([b.column(c)])).reshape(b.num_rows, -1) for c in ("b", "product")], axis=1)
+                    w = np.zeros_like(products)
+                    to_last, d = b.column("to_last").to_numpy(), b.column("d").to_numpy()
+                    nearer = ~(to_last >= d)
+                    w[nearer] = descend_rows(onto_simplex_rows(products[nearer] @ inverse), gram, products[nearer], onto_simplex_rows)
+                    yield pa.RecordBatch.from_arrays([b.column("period"), b.column("d"), tiles.lists(products), b.column("q"), pa.array(nearer), tiles.lists(w)], ["period", "d", "b", "q", "nearer", "w"])
+
+        blended = scratch.store(joined.select("period", "d", "b", "q", "to_last", "product").mapInArrow(blends, "period long, d double, b array<double>, q double, nearer boolean, w array<double>"))
+        points = periods_as_reps(t, hull)
+        if null:
+            points = points.withColumn("rep_period", F.col("rep_period") + 1).unionByName(tiles.zero(t))
+        new = tiles.residuals(t, points, blended.where("nearer").select("period", "w"), metric).select("period", F.col("d")[0].alias("new"))
+        after = scratch.store(blended.join(new, "period", "left").select("period", F.when(F.col("nearer"), F.col("new")).otherwise(F.col("d")).alias("d"), "b", "q"))
+        scratch.drop(state, blended)
+        state, state_d = after, F.col("d")
         best = _farthest(state)
         if best is None:
             raise ValueError("Point not found")
-        hull.append(best)
+        hull.append(best["period"])
+        gram = np.pad(gram, ((0, 1), (0, 1)))
+        gram[-1, :] = gram[:, -1] = [*best["b"], best["q"]]
+        last = periods_as_reps(t, hull[-1:])
     scratch.drop(state)
     return hull
 

@@ -62,7 +62,10 @@ def tile(df: DataFrame, keys: list[str] | None = None, *, scratch: Scratch, widt
     parts = max(1, -(-n // height))
     block, at = F.floor(F.col("place") / width).cast("long"), F.col("place") % width
     joined = known.join(places, keys).select(block.alias("block"), _part(F.col("period").cast("long"), parts).alias("part"), F.col("period").cast("long").alias("period"), at.alias("at"), F.col("value").cast("double").alias("value"))
-    rows = joined.repartition("block", "part").groupBy("block", "part", "period").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("c"))
+    n_tiles = parts * max(1, -(-n_places // width))
+    # a few tiles for each partition, and no more partitions than tiles
+    dealt = max(min(n_tiles, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), n_tiles // 16)
+    rows = joined.repartition(dealt, "block", "part").groupBy("block", "part", "period").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("c"))
     cells = scratch.keep(rows.select("block", "part", "period", F.col("c")["value"].alias("x")))
     return Tiles(cells, places, width, parts, n, n_places)
 
@@ -95,6 +98,12 @@ def _nothing(schema: str) -> pa.Table:
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))]).empty_table()
 
 
+def zero(t: Tiles) -> DataFrame:
+    """The zero vector as a representative."""
+    size = F.least(F.lit(t.width), F.lit(t.n_places) - F.col("id") * t.width).cast("int")
+    return t.cells.sparkSession.range(t.blocks).select(F.lit(1).cast("long").alias("rep_period"), F.col("id").alias("block"), F.array_repeat(F.lit(0.0), size).alias("x"))
+
+
 def _everywhere(df: DataFrame, t: Tiles, over: str) -> DataFrame:
     """A row for each block, or for each part."""
     return df.withColumn(over, F.explode(F.sequence(F.lit(0).cast("long"), F.lit((t.blocks if over == "block" else t.parts) - 1).cast("long"))))
@@ -129,33 +138,39 @@ def _work(t: Tiles, right: DataFrame, work: Callable, schema: str) -> DataFrame:
 
 
 def sums(t: Tiles, weights: DataFrame) -> DataFrame:
-    """(rep_period, block, x): for each representative, the sum of periods times their weights (period, rep_period, weight)."""
+    """(rep_period, block, n, x): for each representative, the sum of periods times their weights (period, rep_period, weight), and n, the sum of these weights."""
 
     def work(block, part, period, x, _, ids, given):
         given = given.reshape(-1, 2)
         groups, of = np.unique(given[:, 0], return_inverse=True)
         w = np.zeros((len(groups), len(period)))
         np.add.at(w, (of, np.searchsorted(period, ids)), given[:, 1])
-        return {"rep_period": groups.astype(np.int64), "block": np.full(len(groups), block), "part": np.full(len(groups), part), "x": lists(w @ x)}
+        return {"rep_period": groups.astype(np.int64), "block": np.full(len(groups), block), "part": np.full(len(groups), part), "n": w.sum(1), "x": lists(w @ x)}
 
     right = _of_periods(weights, t, F.array(F.col("rep_period").cast("double"), F.col("weight").cast("double")))
-    schema = "rep_period long, block long, part long, x array<double>"
+    schema = "rep_period long, block long, part long, n double, x array<double>"
     out, parts = _work(t, right, work, schema), t.parts
 
     def fold(rows: pa.Table) -> pa.Table:
         order = np.argsort(_numbers(rows, "part"), kind="stable")
         total = matrix(rows.column("x"))[order].sum(0, keepdims=True)
-        return pa.table({"rep_period": rows.column("rep_period")[:1], "block": rows.column("block")[:1], "part": pa.array([_numbers(rows, "part")[0] // FOLD]), "x": lists(total)})
+        return pa.table({"rep_period": rows.column("rep_period")[:1], "block": rows.column("block")[:1], "part": pa.array([_numbers(rows, "part")[0] // FOLD]), "n": pa.array([_numbers(rows, "n")[order].sum()]), "x": lists(total)})
 
     while parts > 1:
         out, parts = out.groupBy("rep_period", "block", F.floor(F.col("part") / FOLD)).applyInArrow(fold, schema), -(-parts // FOLD)
     return out.drop("part")
 
 
+#: How many numbers of a block make a measure, if not one.
+PARTS = {"cosine": 3}
+
+
 def _measured(kind: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """What one block adds to the measure of each row of x with each row of y: (rows, parts, rows of y)."""
     if kind == "dot":
         return (x @ y.T)[:, None]
+    if kind == "square":
+        return np.repeat((x * x).sum(1)[:, None, None], len(y), axis=2)
     if kind == "cosine":
         ones = np.ones((len(x), len(y)))
         return np.stack([x @ y.T, (x * x).sum(1)[:, None] * ones, (y * y).sum(1)[None, :] * ones], axis=1)
@@ -176,74 +191,70 @@ def _finished(kind: str, parts: np.ndarray) -> np.ndarray:
     return parts[:, 0]
 
 
-def _over_blocks(t: Tiles, rows: DataFrame, kinds: list[str], by: tuple[str, ...] = ("period",)) -> DataFrame:
-    """(by, d) of (by, block, d): what the blocks have for each of kinds, summed or the largest, and finished; d holds the kinds one after the other."""
-    number = {"cosine": 3}
-    shares = [number.get(k, 1) for k in kinds]
-    top, blocks = [k == "chebyshev" for k in kinds], t.blocks
+def _all_finished(kinds: list[str], x: np.ndarray) -> np.ndarray:
+    out, at = [], 0
+    for k in kinds:
+        n = PARTS.get(k, 1)
+        out.append(_finished(k, x[:, at : at + n]))
+        at += n
+    return np.concatenate(out, axis=1)
+
+
+def _over_blocks(t: Tiles, right: DataFrame, kinds: list[str], parts_of: Callable) -> DataFrame:
+    """(period, d): what parts_of (as work of _work, but for periods and their parts, an array (periods, parts, numbers)) finds, summed over blocks or the largest, and finished; d holds the kinds one after the other."""
+    alone, schema = t.blocks == 1, "period long, block long, d array<double>"
+
+    def work(block, *rest):
+        period, x = parts_of(block, *rest)
+        return {"period": period, "block": np.full(len(period), block), "d": lists(_all_finished(kinds, x) if alone else x.reshape(len(x), -1))}
+
+    rows = _work(t, right, work, schema)
+    if alone:
+        return rows.select("period", "d")
+    n_parts = sum(PARTS.get(k, 1) for k in kinds)
+    top = np.repeat([k == "chebyshev" for k in kinds], [PARTS.get(k, 1) for k in kinds])
 
     def finish(it):
         for b in it:
-            if not b.num_rows:
-                continue
-            found = b.column("d").flatten()
-            n_parts = sum(shares)
-            if blocks > 1:
-                each = [np.array(v, float) for v in b.column("d").to_pylist()]
-                width = each[0].shape[1] // n_parts
-                all_ = np.stack([v.reshape(len(v), n_parts, width) for v in each])
-                x = np.empty((len(each), n_parts, width))
-                at = 0
-                for s, largest in zip(shares, top):
-                    x[:, at : at + s] = all_[:, :, at : at + s].max(1) if largest else all_[:, :, at : at + s].sum(1)
-                    at += s
-            else:
-                x = found.to_numpy(zero_copy_only=False).reshape(b.num_rows, n_parts, -1)
-            out, at = [], 0
-            for k, s in zip(kinds, shares):
-                out.append(_finished(k, x[:, at : at + s]))
-                at += s
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), lists(np.concatenate(out, axis=1))], [*by, "d"])
+            if b.num_rows:
+                each = np.stack([np.array(v, float) for v in b.column("d").to_pylist()])
+                each = each.reshape(*each.shape[:2], n_parts, -1)
+                x = np.where(top[None, :, None], each.max(1), each.sum(1))
+                yield pa.RecordBatch.from_arrays([b.column("period"), lists(_all_finished(kinds, x))], ["period", "d"])
 
-    if blocks > 1:
-        # in order of blocks, so that sums are the same each time
-        rows = rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda c: c["d"]).alias("d"))
-    return rows.select(*by, "d").mapInArrow(finish, ", ".join(f"{c} long" for c in by) + ", d array<double>")
+    # in order of blocks, so that sums are the same each time
+    rows = rows.groupBy("period").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda c: c["d"]).alias("d"))
+    return rows.mapInArrow(finish, "period long, d array<double>")
 
 
 def measures(t: Tiles, reps: DataFrame, *kinds: str) -> DataFrame:
-    """(period, d): the distances of each period to the representatives (rep_period, block, x), in their order; "dot" is the product. Several kinds follow one another."""
-    kinds = [k if k == "dot" else metrics.parse(k) for k in kinds]
+    """(period, d): the distances of each period to the representatives (rep_period, block, x), in their order; "dot" is the product, "square" that of a period with itself. Several kinds follow one another."""
+    kinds = [k if k in ("dot", "square") else metrics.parse(k) for k in kinds]
 
-    def work(block, _, period, x, y, *__):
-        found = [_measured(k, x, y) for k in kinds]
-        return {"period": period, "block": np.full(len(period), block), "d": lists(np.concatenate(found, axis=1).reshape(len(period), -1))}
+    def parts_of(_, __, period, x, y, *___):
+        return period, np.concatenate([_measured(k, x, y) for k in kinds], axis=1)
 
-    return _over_blocks(t, _work(t, _of_reps(reps, t), work, "period long, block long, d array<double>"), kinds)
+    return _over_blocks(t, _of_reps(reps, t), kinds, parts_of)
 
 
 def residuals(t: Tiles, reps: DataFrame, weights: DataFrame, metric: str = "euclidean") -> DataFrame:
     """(period, d): for weights (period, w), the distance of each period to what its weights make of the representatives; several sets of weights may follow one another in w."""
     metric = metrics.parse(metric)
 
-    def work(block, _, period, x, y, ids, w):
-        if not len(ids):
-            return {"period": ids, "block": ids, "d": lists(np.zeros((0, 1)))}
+    def parts_of(_, __, period, x, y, ids, w):
+        sets = w.reshape(len(w), -1, len(y)) if len(ids) else np.zeros((0, 1, len(y)))
         x = x[np.searchsorted(period, ids)]
-        sets = w.reshape(len(w), -1, len(y))
-        blends = np.einsum("nsk,kw->nsw", sets, y)
-        out = np.empty((len(w), 3 if metric == "cosine" else 1, sets.shape[1]))
+        out = np.empty((len(ids), PARTS.get(metric, 1), sets.shape[1]))
         for s in range(sets.shape[1]):
-            b = blends[:, s]
+            blend = sets[:, s] @ y
             if metric == "cosine":
-                out[:, :, s] = np.stack([(x * b).sum(1), (x * x).sum(1), (b * b).sum(1)], axis=1)
+                out[:, :, s] = np.stack([(x * blend).sum(1), (x * x).sum(1), (blend * blend).sum(1)], axis=1)
             else:
-                d = x - b
+                d = x - blend
                 out[:, 0, s] = (d * d).sum(1) if metric == "euclidean" else np.abs(d).sum(1) if metric == "cityblock" else np.abs(d).max(1, initial=0.0)
-        return {"period": ids, "block": np.full(len(ids), block), "d": lists(out.reshape(len(w), -1))}
+        return ids, out
 
-    right = _of_reps(reps, t).unionByName(_of_periods(weights, t, F.col("w")))
-    return _over_blocks(t, _work(t, right, work, "period long, block long, d array<double>"), [metric])
+    return _over_blocks(t, _of_reps(reps, t).unionByName(_of_periods(weights, t, F.col("w"))), [metric], parts_of)
 
 
 def gram(t: Tiles, reps: DataFrame) -> np.ndarray:

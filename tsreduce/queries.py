@@ -70,7 +70,8 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> tiles.Tiles:
     """Tiles that are kept as long as the session, as the query's result reads them."""
-    return tiles.tile(dense(spark, sf_dir), scratch=Scratch(spark))
+    scratch = Scratch(spark)
+    return tiles.tile(scratch.keep(dense(spark, sf_dir)), scratch=scratch)
 
 
 #: SQL of each view over the base tables and the views before it.
@@ -194,7 +195,7 @@ def _pairwise(metric: str):
 
 def hull_first_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
-        found = clustering.greedy_hull(tiles.tile(dense(spark, sf_dir), scratch=scratch), 1, "euclidean", scratch)
+        found = clustering.greedy_hull(tiles.tile(scratch.keep(dense(spark, sf_dir)), scratch=scratch), 1, "euclidean", scratch)
     return spark.createDataFrame([(found[0],)], "period long")
 
 
@@ -205,7 +206,7 @@ def nearest_rep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def centre_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
-        seeds = clustering.centre_seeds(tiles.tile(dense(spark, sf_dir), scratch=scratch), 5, "euclidean", scratch)
+        seeds = clustering.centre_seeds(tiles.tile(scratch.keep(dense(spark, sf_dir)), scratch=scratch), 5, "euclidean", scratch)
     return spark.createDataFrame([(p,) for p in seeds], "period long")
 
 
@@ -238,7 +239,7 @@ def descent_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def projection_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
-        t = tiles.tile(dense(spark, sf_dir), scratch=scratch)
+        t = tiles.tile(scratch.keep(dense(spark, sf_dir)), scratch=scratch)
         reps = _reps(t)
         w = clustering.nearest(t, reps, "euclidean").withColumn("weight", F.lit(1.0))
         error = weights.projection_error(t, w, reps)
@@ -275,14 +276,14 @@ def lp_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found(method: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return clustering.find_representative_periods(dense(spark, sf_dir), 4, method=method).weights
+        return clustering.find_representative_periods(Scratch(spark).keep(dense(spark, sf_dir)), 4, method=method).weights
 
     return query
 
 
 def _fitted(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = dense(spark, sf_dir).withColumn("value", F.col("value") / 1000)
+        d = Scratch(spark).keep(dense(spark, sf_dir).withColumn("value", F.col("value") / 1000))
         found = clustering.find_representative_periods(d, 4, method=clustering.method_for("hull", kind))
         return weights.fit_weights(found, kind, niters=200)
 
