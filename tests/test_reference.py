@@ -11,7 +11,7 @@ from tsreduce.functions import metrics
 from tsreduce.functions.projections import descend, onto_orthant, onto_simplex
 from tsreduce.operators import clustering, reshape, weights
 from tsreduce.operators.views import Catalog
-from tsreduce.plans import lp
+from tsreduce.plans import experiment, lp
 from tsreduce.plans.experiment import Experiment, run_experiment, run_grid
 from tsreduce.plans.solver import Matrix, solve, solve_arrays
 from tsreduce.sources import tables as T
@@ -364,18 +364,74 @@ def test_experiment_with_storage(spark, whole, kind, tmp_path):
     }
 
 
-def test_grid_of_experiments(spark, small, tmp_path):
+def test_grid_of_experiments(spark, small, tmp_path, monkeypatch):
     for name, table in small.items():
         if name in T.SCHEMAS or name == "profiles_raw":
             rows = [table.columns, *table.collect()]
             file = name.removesuffix("_raw").replace("_", "-")
             (tmp_path / "toy").mkdir(exist_ok=True)
             (tmp_path / "toy" / f"{file}.csv").write_text("\n".join(",".join("" if v is None else str(v) for v in r) for r in rows) + "\n")
-    (tmp_path / "toy.csv").write_text(",".join(c.split()[0] for c in T.GRID.split(", ")) + "\n2,2,k_means,euclidean,dirac,10,1e-4,none\n")
-    assert run_grid(spark, str(tmp_path), ["toy"], str(tmp_path / "out"), seeds=(7, 8)) == 2
-    lines = (tmp_path / "out" / "toy.csv").read_text().splitlines()
-    assert len(lines) == 3 and [x.split(",")[1] for x in lines[1:]] == ["7", "8"]
-    assert len((tmp_path / "out" / "2_2_k_means_euclidean_dirac_10_0.0001" / "invested_units.csv").read_text().splitlines()) == 3
+    (tmp_path / "toy.csv").write_text(",".join(c.split()[0] for c in T.GRID.split(", ")) + "\n2,2,k_means,euclidean,dirac,10,1e-4,none\n2,2,k_means,euclidean,convex,10,1e-4,none\n2,2,k_means,euclidean,convex,20,1e-4,none\n")
+    searches, closed = [], []
+    monkeypatch.setattr(experiment.Shared, "close", lambda self, close=experiment.Shared.close: (closed.append(self.searches), close(self)))
+    before = held(spark)
+    for _ in range(2):
+        assert run_grid(spark, str(tmp_path), ["toy"], str(tmp_path / "out"), seeds=(7, 8)) == 6
+        searches.append(closed[-1])
+        assert held(spark) == before  # all that was kept is given back
+        # a repeated run adds nothing
+        lines = (tmp_path / "out" / "toy.csv").read_text().splitlines()
+        assert len(lines) == 7 and sorted(x.split(",")[1] for x in lines[1:]) == ["7"] * 3 + ["8"] * 3
+        units = T.read_runs(spark, str(tmp_path / "out" / "toy" / "invested_units"), T.VARIABLE_SCHEMAS["invested_units"])
+        assert got(units.select("name", "seed", "id"), "name", "seed") == [(n, seed, "dear") for n in (f"2_2_k_means_euclidean_{k}_0.0001" for k in ("convex_10", "convex_20", "dirac_10")) for seed in (7, 8)]
+    assert searches == [1, 1]  # three experiments share one search
+
+
+def held(spark):
+    return spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+
+
+def test_runs_are_added_once_and_whole(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    rows = spark.createDataFrame([("a", 1.5), (None, None)], "id string, value double")
+    schema = "id string, value double, name string, seed long"
+    assert T.append_run(rows, folder, name="x=1/ü %", seed=3) and not T.append_run(rows, folder, name="x=1/ü %", seed=3)
+    assert sorted(got(T.read_runs(spark, folder, schema), "id"), key=str) == sorted([("a", 1.5, "x=1/ü %", 3), (None, None, "x=1/ü %", 3)], key=str)
+
+    bad = spark.range(4).selectExpr("CAST(id AS STRING) AS id", "CAST(raise_error('killed') AS DOUBLE) AS value")
+    with pytest.raises(Exception, match="killed"):
+        T.append_run(bad, folder, name="y", seed=3)
+    assert T.read_runs(spark, folder, schema).count() == 2 and not [f for f in (tmp_path / "runs").iterdir() if f.name.startswith("_")]
+    assert T.append_run(rows, folder, name="y", seed=3) and T.read_runs(spark, folder, schema).count() == 4
+
+
+def test_many_files_by_header(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"i{k}.csv").write_text(f"id,cost\nA{k},{k}\n" if k % 2 else f"cost,id\n{k},A{k}\n")
+    df = T.read_data(spark, "investments", [str(tmp_path / f"i{k}.csv") for k in range(60)])
+    assert sorted(got(df, "cost")) == sorted((f"A{k}", float(k)) for k in range(60))
+    # one scan for each header
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+
+
+def test_numbered_programme(spark, whole, tmp_path):
+    c = Catalog(whole, 2)
+    c = c.with_(rp_profiles=c.profiles.where("period <= 2").withColumnRenamed("period", "rep_period"))
+    w = spark.createDataFrame([(1, 1, 1.0), (2, 1, 0.25), (2, 2, 0.75), (3, 2, 1.0), (4, 1, 0.5), (4, 2, 0.5)], clustering.WEIGHTS)
+    p = lp.build(c, w)
+    n = lp.numbered_programme(p)
+    index = [r[0] for r in n.rows.select("index").collect()]
+    col = [r[0] for r in n.columns.select("col").collect()]
+    assert sorted(index) == list(range(len(index))) and sorted(col) == list(range(len(col)))
+    assert not [r for r in n.rows.select("row").collect() if "." in r[0]]  # no row is named by a double
+    back = n.entries.join(n.rows, "index").join(n.columns, "col").select("row", *lp.VAR, "a")
+    assert got(back, "row", *lp.VAR) == got(p.terms.select("row", *lp.VAR, "a"), "row", *lp.VAR)
+    n.write(str(tmp_path / "coo"))
+    assert spark.read.parquet(str(tmp_path / "coo/entries")).count() == n.entries.count()
+    # blended weights: what a period's level changes by is shared among its representatives
+    inter = {(r["name"], r["r"]): r["a"] for r in p.terms.where("row = 'inter|lake|2'").collect() if r["name"].startswith("state_of_charge_intra")}
+    assert inter == {("state_of_charge_intra", 1): -0.25, ("state_of_charge_intra", 2): -0.75, ("state_of_charge_intra_0", 1): 0.25, ("state_of_charge_intra_0", 2): 0.75}
+    p.release()
 
 
 def test_duplicate_demand_gives_two_balances(spark, small):

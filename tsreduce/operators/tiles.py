@@ -206,7 +206,7 @@ def _over_blocks(t: Tiles, right: DataFrame, kinds: list[str], parts_of: Callabl
 
     def work(block, *rest):
         period, x = parts_of(block, *rest)
-        return {"period": period, "block": np.full(len(period), block), "d": lists(_all_finished(kinds, x) if alone else x.reshape(len(x), -1))}
+        return {"period": period, "block": np.full(len(period), block), "d": lists(_all_finished(kinds, x) if alone else x.reshape(len(x), x.shape[1] * x.shape[2]))}
 
     rows = _work(t, right, work, schema)
     if alone:

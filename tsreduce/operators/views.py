@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsreduce.operators.reshape import period_of, step_of, unpivot_wide
+from tsreduce.sources.scratch import Scratch
 from tsreduce.sources.tables import LEVELS, RP_PROFILES
 
 
@@ -32,11 +33,18 @@ class Catalog:
     def with_(self, period_length: int | None = None, rp_profiles: DataFrame | None = None) -> Catalog:
         return Catalog(self.tables, period_length or self.period_length, rp_profiles if rp_profiles is not None else self._rp)
 
-    def kept(self) -> Catalog:
-        """This catalog, with what many views are made of held in memory and on disk, so that tables are read once."""
-        c = Catalog(self.tables, self.period_length, self._rp.persist() if self._rp is not None else None)
+    def kept(self, scratch: Scratch) -> Catalog:
+        """This catalog, with what many views are made of held by scratch, so that tables are read once."""
+        c = Catalog(self.tables, self.period_length, scratch.keep(self._rp) if self._rp is not None else None)
+        c._held |= {k: v for k, v in self._held.items() if k not in KEPT}
         for name in KEPT:
-            c._held[name] = c.view(name).persist()
+            c._held[name] = self._held[name] if name in self._held else scratch.keep(c.view(name))
+        return c
+
+    def holding(self, **views: DataFrame) -> Catalog:
+        """This catalog with frames that stand for views."""
+        c = Catalog(self.tables, self.period_length, self._rp)
+        c._held = self._held | views
         return c
 
     def view(self, name: str) -> DataFrame:

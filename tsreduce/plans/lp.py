@@ -1,7 +1,7 @@
 """The capacity-expansion and dispatch programme as coefficient rows.
 
 A variable is (name, id, r, t): r is a representative period, t a timestep or a period; 0 where there is none. A
-constraint row is named by a block and the keys of what it is built for, so rows and terms join without a numbering.
+constraint row is named by a block and the keys of what it is built for. numbered_programme() gives both gapless numbers.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tsreduce.operators.numbering import numbered
 from tsreduce.operators.views import Catalog
 from tsreduce.operators.weights import rp_weight
+from tsreduce.sources.scratch import Scratch
 
 VAR = ["name", "id", "r", "t"]
 
@@ -25,6 +28,26 @@ class Programme:
     variables: DataFrame
     rows: DataFrame
     terms: DataFrame
+    scratch: Scratch | None = None
+
+    def release(self) -> None:
+        """Gives back what the frames are read from."""
+        if self.scratch is not None:
+            self.scratch.close()
+
+
+@dataclass
+class Coefficients:
+    """columns (col, name, id, r, t, lb, ub, cost), rows (index, row, sense, rhs) and entries (index, col, a); numbers are gapless from 0."""
+
+    columns: DataFrame
+    rows: DataFrame
+    entries: DataFrame
+
+    def write(self, folder: str) -> None:
+        """Parquet tables columns, rows and entries; each task writes its part."""
+        for name in ("columns", "rows", "entries"):
+            getattr(self, name).write.parquet(f"{folder}/{name}")
 
 
 def _col(x) -> Column:
@@ -54,8 +77,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def build(c: Catalog, weights: DataFrame, timestep_duration: float | None = None) -> Programme:
-    """The programme over c's representatives, whose weights by period are given. What views share of the profiles is kept while its frames are used."""
-    c, weights = c.kept(), weights.persist()
+    """The programme over c's representatives, whose weights by period are given. What views share of the profiles is kept until it is released."""
+    scratch = Scratch(c.spark)
+    c, weights = c.kept(scratch), scratch.keep(weights)
     dur = c.scalar("timestep_duration") if timestep_duration is None else timestep_duration
     last = c.rp_profiles.agg(F.max("timestep")).first()[0] or 0
     n_periods = c.periods.agg(F.max("id")).first()[0] or 0
@@ -98,8 +122,8 @@ def build(c: Catalog, weights: DataFrame, timestep_duration: float | None = None
 
     # L2: balance; rows of one place and time are numbered, as two demands make two of them
     at = ["location", "carrier", "rep_period", "timestep"]
-    balance = c.balance_constraint_view.groupBy(*at, "demand_profile", "peak_demand").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    key = _key("balance", *map(F.col, at), F.col("demand_profile"), F.col("peak_demand"), F.col("k"))
+    balance = c.balance_constraint_view.withColumn("k", F.row_number().over(Window.partitionBy(*at).orderBy("demand_profile", "peak_demand")))
+    key = _key("balance", *map(F.col, at), F.col("k"))
     rows.append(_rows(balance, (key, "=", F.col("demand_profile") * F.col("peak_demand"))))
     moved = _union([
         c.power_out_expression_view.select("location", F.col("carrier_out").alias("carrier"), F.lit("power_out").alias("name"), "id", F.lit(1.0).alias("a")),
@@ -173,11 +197,21 @@ def build(c: Catalog, weights: DataFrame, timestep_duration: float | None = None
     terms.append(_terms(v.select("id", "period").join(steps, "period"), *((key, "power_out", up * w, r, F.col("at")) for up, key in keys.items())))
 
     summed = _union(terms).groupBy("row", *VAR).agg(F.sum("a").alias("a")).where("a <> 0")
-    return Programme(variables, _union(rows), summed)
+    return Programme(variables, _union(rows), summed, scratch)
+
+
+def numbered_programme(p: Programme) -> Coefficients:
+    """p with gapless numbers for variables and rows, which depend on their names alone, and its terms by these numbers.
+
+    A term of a variable that p lacks, as where an hour has no profile at all, has a null column.
+    """
+    columns, rows = numbered(p.variables, VAR, "col"), numbered(p.rows, ["row"])
+    entries = p.terms.join(rows.select("row", "index"), "row").join(columns.select(*VAR, "col"), VAR, "left").select("index", "col", "a")
+    return Coefficients(columns.select("col", *VAR, "lb", "ub", "cost"), rows.select("index", "row", "sense", "rhs"), entries)
 
 
 def fix(p: Programme, values: DataFrame) -> Programme:
     """p with the variables of values (name, id, r, t, value) fixed."""
     joined = p.variables.join(values.select(*VAR, "value"), VAR, "left")
     held = joined.select(*VAR, F.coalesce("value", "lb").alias("lb"), F.coalesce("value", "ub").alias("ub"), "cost")
-    return Programme(held, p.rows, p.terms)
+    return Programme(held, p.rows, p.terms, p.scratch)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tsreduce.functions import projections
 from tsreduce.operators import clustering, reshape, tiles, weights
@@ -31,8 +32,8 @@ _ID = "'S' || CAST(s_suppkey AS STRING)"
 BASE = {
     "assets": f"SELECT {_ID} AS id, n_name AS location, {_KIND} AS technology, CAST(100 + s_suppkey % 7 * 50 AS DOUBLE) AS unit_capacity, CAST(s_suppkey % 3 AS DOUBLE) AS initial_units FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey",
     "investments": f"SELECT {_ID} AS id, round(s_acctbal / 100, 2) AS cost FROM {{supplier}} WHERE s_acctbal > 5000",
-    "technologies": "SELECT * FROM (VALUES ('Wind', 'generation', 'electricity'), ('Coal', 'generation', 'electricity'), ('Battery', 'storage', 'electricity'), ('Hydro', 'storage', 'electricity'), ('Electrolyzer', 'conversion', 'hydrogen')) AS t(id, type, carrier_out)",
-    "technologies_conversion": "SELECT id, carrier_in, CAST(a AS DOUBLE) AS efficiency_in, CAST(b AS DOUBLE) AS efficiency_out FROM (VALUES ('Electrolyzer', 'electricity', 1.0, 0.65)) AS t(id, carrier_in, a, b)",
+    "technologies": f"SELECT DISTINCT {_KIND} AS id, CASE WHEN s_suppkey % 5 < 2 THEN 'generation' WHEN s_suppkey % 5 < 4 THEN 'storage' ELSE 'conversion' END AS type, CASE WHEN s_suppkey % 5 = 4 THEN 'hydrogen' ELSE 'electricity' END AS carrier_out FROM {{supplier}}",
+    "technologies_conversion": f"SELECT DISTINCT {_KIND} AS id, 'electricity' AS carrier_in, CAST(1 AS DOUBLE) AS efficiency_in, CAST(0.65 AS DOUBLE) AS efficiency_out FROM {{supplier}} WHERE s_suppkey % 5 = 4",
     "technologies_generation": "SELECT id, CAST(a AS DOUBLE) AS variable_cost, CAST(b AS DOUBLE) AS ramping_rate FROM (VALUES ('Wind', 0.0, 1.0), ('Coal', 0.15, 0.4)) AS t(id, a, b)",
     "technologies_storage": "SELECT id, is_seasonal, CAST(a AS DOUBLE) AS efficiency_in, CAST(b AS DOUBLE) AS efficiency_out FROM (VALUES ('Battery', false, 0.95, 0.95), ('Hydro', true, 0.9, 0.8)) AS t(id, is_seasonal, a, b)",
     "assets_storage": f"SELECT {_ID} AS id, CAST(1000 + s_suppkey % 9 * 10 AS DOUBLE) AS capacity_storage_energy, CAST(1 AS DOUBLE) AS initial_storage_units FROM {{supplier}} WHERE s_suppkey % 5 IN (2, 3)",
@@ -123,6 +124,7 @@ _DENSE_SQL = {
     "dense": "SELECT (c.hour - 1) // 24 + 1 AS period, (c.hour - 1) % 24 + 1 AS timestep, c.id, coalesce(u.value, c.none) AS value FROM cells c LEFT JOIN (FROM profiles_raw UNPIVOT (value FOR id IN (click, error, purchase, signup, view))) u ON u.timestep = c.hour AND u.id = c.id",
     "apart": "SELECT x.period AS p, y.period AS q, sqrt(sum((x.value - y.value) ** 2)) AS euclidean, sum(abs(x.value - y.value)) AS cityblock, max(abs(x.value - y.value)) AS chebyshev, 1 - sum(x.value * y.value) / sqrt(sum(x.value ** 2) * sum(y.value ** 2)) AS cosine FROM dense x JOIN dense y ON x.timestep = y.timestep AND x.id = y.id GROUP BY 1, 2",
     "chosen": "SELECT * FROM (VALUES (1, 1), (2, 11), (3, 21)) AS t(rep_period, period)",
+    "blended": "SELECT period, rep_period::BIGINT AS rep_period, CASE place WHEN 1 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS weight FROM (SELECT a.p AS period, c.rep_period, row_number() OVER (PARTITION BY a.p ORDER BY round(a.euclidean, 9), c.rep_period) AS place FROM apart a JOIN chosen c ON c.period = a.q) WHERE place <= 2",
     "nearest": "SELECT a.p AS period, arg_min(c.rep_period, struct_pack(d := round(a.euclidean, 9), r := c.rep_period)) AS rep_period FROM apart a JOIN chosen c ON c.period = a.q GROUP BY a.p",
 }
 
@@ -255,8 +257,16 @@ def lag_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.differences(dense(spark, sf_dir), ["id", "period"]).withColumn("change", F.round("change", 6))
 
 
-def _programme(spark: SparkSession, sf_dir: str) -> lp.Programme:
-    w = nearest_rep(spark, sf_dir).withColumn("weight", F.lit(1.0))
+def blended_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two representatives for each period: three quarters of the nearest and one of the next."""
+    t = features(spark, sf_dir)
+    apart = tiles.measures(t, _reps(t), "euclidean").select("period", F.posexplode("d").alias("r", "d"))
+    place = F.row_number().over(Window.partitionBy("period").orderBy(F.round("d", 9), "r"))
+    return apart.withColumn("place", place).where("place <= 2").select("period", (F.col("r") + 1).cast("long").alias("rep_period"), F.when(F.col("place") == 1, 0.75).otherwise(0.25).alias("weight"))
+
+
+def _programme(spark: SparkSession, sf_dir: str, weights_: DataFrame | None = None) -> lp.Programme:
+    w = nearest_rep(spark, sf_dir).withColumn("weight", F.lit(1.0)) if weights_ is None else weights_
     return lp.build(catalog(spark, sf_dir), w)
 
 
@@ -269,9 +279,31 @@ def lp_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _programme(spark, sf_dir).variables.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lb"), 2).alias("lb"), F.round(F.sum("ub"), 2).alias("ub"), F.round(F.sum("cost"), 2).alias("cost"))
 
 
+def _sums_of_terms(terms: DataFrame) -> DataFrame:
+    block = F.split_part(F.col("row"), F.lit("|"), F.lit(1)).alias("block")
+    return terms.groupBy(block, "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("a"), 3).alias("a"), F.round(F.sum(F.col("a") * F.col("a")), 3).alias("squares"), F.round(F.sum(F.col("a") * (F.col("r") * 100 + F.col("t"))), 2).alias("moment"))
+
+
 def lp_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sums_of_terms(_programme(spark, sf_dir).terms)
+
+
+def lp_blended_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sums_of_terms(_programme(spark, sf_dir, blended_weights(spark, sf_dir)).terms)
+
+
+def lp_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of each block by the numbers of their rows."""
+    c = lp.numbered_programme(_programme(spark, sf_dir))
     block = F.split_part(F.col("row"), F.lit("|"), F.lit(1)).alias("block")
-    return _programme(spark, sf_dir).terms.groupBy(block, "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("a"), 3).alias("a"), F.round(F.sum(F.col("a") * F.col("a")), 3).alias("squares"), F.round(F.sum(F.col("a") * (F.col("r") * 100 + F.col("t"))), 2).alias("moment"))
+    return c.entries.join(c.rows.select("index", "row"), "index").groupBy(block).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("a"), 2).alias("a"), F.round(F.sum(F.col("a") * F.col("a")), 2).alias("squares"))
+
+
+def lp_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many numbers there are, how many different ones, and the largest."""
+    c = lp.numbered_programme(_programme(spark, sf_dir))
+    each = [df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.count_distinct(i).alias("different"), (F.max(i) + 1).alias("last")) for kind, df, i in (("rows", c.rows, "index"), ("columns", c.columns, "col"))]
+    return each[0].unionByName(each[1])
 
 
 def _found(method: str):
@@ -291,7 +323,7 @@ def _fitted(kind: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (unpivot_wide, split_periods, combine_periods, long_matrix_long, append_period, aux_stats, hull_first_point, nearest_rep, centre_seeds, simplex_projection, orthant_projection, descent_step, projection_error, rp_weight, lag_difference, lp_rows, lp_variables, lp_terms)
+    plain = (unpivot_wide, split_periods, combine_periods, long_matrix_long, append_period, aux_stats, hull_first_point, nearest_rep, centre_seeds, simplex_projection, orthant_projection, descent_step, projection_error, rp_weight, lag_difference, blended_weights, lp_rows, lp_variables, lp_terms, lp_blended_terms, lp_matrix, lp_numbers)
     found = {f.__name__: f for f in plain} | {f"view_{v}": _view(v) for v in VIEWS}
     found |= {f"pairwise_{m}": _pairwise(m) for m in ("euclidean", "cityblock", "cosine", "chebyshev")}
     found |= {f"find_{m}": _found(m) for m in ("k_means", "k_medoids", "convex_hull", "convex_hull_with_null", "conical_hull")}
@@ -379,6 +411,52 @@ SQL = {
 }
 
 
+def _k_means_sql(k: int, rounds: int) -> str:
+    """Seeds, and so many rounds of nearest centres and their means; a centre without periods stays."""
+    parts = [
+        f"seeds AS MATERIALIZED (SELECT row_number() OVER (ORDER BY v, q) AS rep, q AS period FROM (SELECT a.q, round(sum(a.euclidean ** 2 / t.s), 9) AS v FROM apart a JOIN (SELECT p, sum(euclidean ** 2) AS s FROM apart GROUP BY p) t USING (p) GROUP BY a.q) ORDER BY v, q LIMIT {k})",
+        "c0 AS MATERIALIZED (SELECT s.rep, d.timestep, d.id, d.value FROM dense d JOIN seeds s USING (period))",
+    ]
+    for i in range(rounds):
+        parts.append(f"own{i} AS MATERIALIZED (SELECT period, arg_min(rep, struct_pack(d := round(s, 9), r := rep)) AS rep FROM (SELECT d.period, c.rep, sum((d.value - c.value) ** 2) AS s FROM dense d JOIN c{i} c USING (timestep, id) GROUP BY ALL) GROUP BY period)")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT o.rep, d.timestep, d.id, avg(d.value) AS value FROM dense d JOIN own{i} o USING (period) GROUP BY ALL UNION ALL SELECT * FROM c{i} WHERE rep NOT IN (SELECT rep FROM own{i}))")
+    return f"SELECT * FROM (WITH {', '.join(parts)} SELECT period, rep AS rep_period, 1.0::DOUBLE AS weight FROM own{rounds - 1})"
+
+
+def _k_medoids_sql(k: int, rounds: int) -> str:
+    """Seeds, and so many rounds of nearest medoids and the cheapest of each cluster."""
+    parts = [f"m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY v, q) AS rep, q AS period FROM (SELECT a.q, round(sum(a.euclidean / t.s), 9) AS v FROM apart a JOIN (SELECT p, sum(euclidean) AS s FROM apart GROUP BY p) t USING (p) GROUP BY a.q) ORDER BY v, q LIMIT {k})"]
+    for i in range(rounds):
+        parts.append(f"own{i} AS MATERIALIZED (SELECT a.p AS period, arg_min(m.rep, struct_pack(d := round(a.euclidean, 9), r := m.rep)) AS rep FROM apart a JOIN m{i} m ON m.period = a.q GROUP BY a.p)")
+        parts.append(f"m{i + 1} AS MATERIALIZED (SELECT rep, arg_min(period, struct_pack(s := round(s, 9), p := period)) AS period FROM (SELECT x.rep, x.period, sum(a.euclidean) AS s FROM own{i} x JOIN own{i} y USING (rep) JOIN apart a ON a.p = x.period AND a.q = y.period GROUP BY ALL) GROUP BY rep)")
+    return f"SELECT * FROM (WITH {', '.join(parts)} SELECT period, rep AS rep_period, 1.0::DOUBLE AS weight FROM own{rounds - 1})"
+
+
+def _blended_terms_sql() -> str:
+    """lp_terms, with each period's two weights where it has one representative there."""
+    sql = SQL["lp_terms"]
+    for old, new in (
+        ("rep_period, 24, -1 FROM seasonal_storage_assets, nearest", "rep_period, 24, -weight FROM seasonal_storage_assets, blended"),
+        ("rep_period, 0, 1 FROM seasonal_storage_assets, nearest", "rep_period, 0, weight FROM seasonal_storage_assets, blended"),
+        ("rep_period, 24, -1 FROM initial_storage_constraint_view, nearest", "rep_period, 24, -weight FROM initial_storage_constraint_view, blended"),
+        ("n.rep_period, 1, s.a FROM inter_period_ramping_constraint_view v JOIN nearest n", "n.rep_period, 1, s.a * n.weight FROM inter_period_ramping_constraint_view v JOIN blended n"),
+        ("n.rep_period, 24, -s.a FROM inter_period_ramping_constraint_view v JOIN nearest n", "n.rep_period, 24, -s.a * n.weight FROM inter_period_ramping_constraint_view v JOIN blended n"),
+    ):
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+SQL |= {
+    "blended_weights": "SELECT period, rep_period, weight FROM blended",
+    "lp_blended_terms": _blended_terms_sql(),
+    "lp_matrix": "SELECT block, CAST(sum(n) AS BIGINT) AS n, round(sum(a), 2) AS a, round(sum(squares), 2) AS squares FROM (" + SQL["lp_terms"].replace("round(sum(a), 3)", "sum(a)").replace("round(sum(a * a), 3)", "sum(a * a)") + ") GROUP BY block",
+    "lp_numbers": f"SELECT 'rows' AS kind, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS different, CAST(sum(n) AS BIGINT) AS last FROM ({SQL['lp_rows']}) UNION ALL SELECT 'columns', CAST(sum(n) AS BIGINT), CAST(sum(n) AS BIGINT), CAST(sum(n) AS BIGINT) FROM ({SQL['lp_variables']})",
+    "find_k_means": _k_means_sql(4, 14),
+    "find_k_medoids": _k_medoids_sql(4, 10),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     found = {f"view_{v}": _with(f"SELECT * FROM {v}") for v in VIEWS}
     found |= {f"pairwise_{m}": _with(f"SELECT p, q, abs(round({m}, 5)) AS d FROM apart") for m in ("euclidean", "cityblock", "cosine", "chebyshev")}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 import io
 import re
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from functools import reduce
 from pathlib import Path
@@ -40,18 +42,30 @@ def table_name(path: str) -> str:
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The names in a file's first line; none of an empty file."""
-    head = spark.read.text(path).first()
-    return [n.strip().removeprefix("\ufeff") for n in next(csv.reader([head[0]]))] if head else []
+    """The names in a file's first line; none of an empty file. Only that line is read, without a job."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
+    try:
+        java = spark._jvm.java.io
+        head = java.BufferedReader(java.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return [n.strip().removeprefix("\ufeff") for n in next(csv.reader([head]))] if head else []
 
 
 def _by_name(spark: SparkSession, paths: str | list[str], kind_of) -> DataFrame | None:
-    """Files of one table, each read by its own header; a column that a file lacks is null in its rows."""
+    """Files of one table, those of one header in one scan; a column that a file lacks is null in its rows."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda p: tuple(header(spark, p)), paths))
+    groups: dict[tuple, list[str]] = {}
+    for names, path in zip(headers, paths):
+        groups.setdefault(names, []).append(path)
     frames = []
-    for path in [paths] if isinstance(paths, str) else paths:
-        if names := header(spark, path):
+    for names, alike in groups.items():
+        if names:
             schema = ", ".join(f"`{n}` {kind_of(n)}" for n in names)
-            frames.append(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path, schema=schema))
+            frames.append(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(alike, schema=schema))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
@@ -129,26 +143,71 @@ class ExperimentResult:
         return spark.createDataFrame([tuple(asdict(self).values())], schema).withColumn("time_to_read", F.lit(float(time_to_read)))
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def append_csv(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Adds the few rows of a frame to one CSV file, which gets a header when it is made. Folders are made as needed; the file is replaced as a whole."""
+    """Adds the few rows of a frame to one CSV file, which gets a header when it is made. Folders are made as needed; the file is replaced as a whole in one step, so there is always the old or the new one."""
     lines = io.StringIO(newline="")
     out = csv.writer(lines, lineterminator="\n")
-    hadoop = spark._jvm.org.apache.hadoop
-    target, fresh = hadoop.fs.Path(path), hadoop.fs.Path(path + ".new")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, target = _file_system(spark, path)
     if fs.exists(target):
         before = "".join(r[0] + "\n" for r in spark.read.text(path).coalesce(1).collect())
     else:
         before = ""
         out.writerow(rows.columns)
     out.writerows(rows.collect())
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     stream = fs.create(fresh, True)
     try:
         stream.write(bytearray((before + lines.getvalue()).encode()))
     finally:
         stream.close()
-    fs.delete(target, False)
-    fs.rename(fresh, target)
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark._gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(target), overwrite)
+
+
+def _escaped(value) -> str:
+    """A value as part of a folder's name, as partition discovery reads it."""
+    return "".join(c if c.isalnum() or c in "_-. " else "".join(f"%{b:02X}" for b in c.encode()) for c in str(value))
+
+
+def append_run(rows: DataFrame, folder: str, **run) -> bool:
+    """Adds the rows of one run to a partitioned table of CSV parts, once: folder/key=value/... for the keys that name the run.
+
+    Tasks write to a folder beside it, which then takes its place in one step. A run that is there already is left as it
+    is, so a repeated one adds nothing; one that is killed leaves nothing that readers see. Returns whether it was added.
+    """
+    spark = rows.sparkSession
+    target_path = "/".join([folder.rstrip("/"), *(f"{k}={_escaped(v)}" for k, v in run.items())])
+    fs, target = _file_system(spark, target_path)
+    if fs.exists(target):
+        return False
+    staged_path = f"{folder.rstrip('/')}/_staged-{uuid.uuid4().hex}"  # readers skip names that begin so
+    _, staged = _file_system(spark, staged_path)
+    try:
+        rows.drop(*run).write.option("header", True).csv(staged_path)
+        fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(staged, target):
+            return False
+        # of two that came at once, the later one may lie within the first
+        inner = spark._jvm.org.apache.hadoop.fs.Path(target, staged.getName())
+        if fs.exists(inner):
+            fs.delete(inner, True)
+            return False
+        return True
+    finally:
+        fs.delete(staged, True)
+
+
+def read_runs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of all runs; schema names the rows' columns, and then those of the run."""
+    return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(folder)
 
 
 def save_result(result: ExperimentResult, spark: SparkSession, path: str, time_to_read: float) -> None:
@@ -172,6 +231,26 @@ def save_variable(solution, name: str, keys: dict[str, str], path: str, seed: in
         append_csv(rows.sparkSession, path, rows.orderBy(*keys.values()))
 
 
+#: The columns of the partitioned tables of variables.
+VARIABLE_SCHEMAS = {
+    "state_of_charge_inter": "id string, period long, value double, name string, seed long",
+    "state_of_charge_intra": "id string, rep_period long, timestep long, value double, name string, seed long",
+    "invested_units": "id string, value double, name string, seed long",
+}
+
+
+def append_variables(solution, folder: str, result_name: str, seed: int) -> list[str]:
+    """Storage levels and investments of one run, each added once to the partitioned table folder/its name; which were added. Nothing without an optimal solution or without rows."""
+    if solution.status != "OPTIMAL" or solution.variables is None:
+        return []
+    added = []
+    for name, (_, keys) in VARIABLE_FILES.items():
+        rows = solution.variables.where(F.col("name") == name).select(*(F.col(k).alias(v) for k, v in keys.items()), "value")
+        if not rows.isEmpty() and append_run(rows, f"{folder}/{name}", name=result_name, seed=seed):
+            added.append(name)
+    return added
+
+
 def save_variables(solution, folder: str, result_name: str, seed: int) -> None:
     """Storage levels between and within periods, and investments, each in a file of the result's folder."""
     for name, (file, keys) in VARIABLE_FILES.items():
