@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
+#: How many scratches of this process hold a frame, by what it computes: Spark keeps frames that compute the same only once.
+_holders: Counter = Counter()
+_lock = Lock()
+
+
 class Scratch:
     """Frames in memory and tables in the shared folder that go when it is closed. A table cuts the lineage of a round."""
 
@@ -27,9 +34,19 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         """df, held in memory and on disk once it has been computed."""
-        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        with _lock:
+            _holders[key := (id(self.spark), df.semanticHash())] += 1
+            self._kept.append((df.persist(StorageLevel.MEMORY_AND_DISK), key))
         return df
 
+    @staticmethod
+    def _give_back(df: DataFrame, key: tuple) -> None:
+        with _lock:
+            _holders[key] -= 1
+            if not _holders[key]:
+                del _holders[key]
+                df.unpersist()
+
     def store(self, df: DataFrame) -> DataFrame:
         """df as a table that has been written and is read again."""
         path = f"{shared_folder(self.spark)}/tsreduce-{uuid.uuid4().hex}"
@@ -47,17 +64,17 @@ class Scratch:
             if (path := getattr(df, "_scratch", None)) in self._paths:
                 self._delete(path)
                 self._paths.remove(path)
-            for held in [h for h in self._kept if h is df]:
-                held.unpersist()
-                self._kept.remove(held)
+            for held in [h for h in self._kept if h[0] is df]:
+                self._kept = [h for h in self._kept if h is not held]
+                self._give_back(*held)
 
     def _delete(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def close(self) -> None:
-        for df in self._kept:
-            df.unpersist()
+        for held in self._kept:
+            self._give_back(*held)
         for path in self._paths:
             self._delete(path)
         self._kept, self._paths = [], []

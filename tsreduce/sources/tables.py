@@ -166,7 +166,7 @@ def append_csv(spark: SparkSession, path: str, rows: DataFrame) -> None:
     finally:
         stream.close()
     options = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    overwrite = spark._gateway.new_array(options, 1)
+    overwrite = spark.sparkContext._gateway.new_array(options, 1)
     overwrite[0] = options.OVERWRITE
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
     context.rename(fs.makeQualified(fresh), fs.makeQualified(target), overwrite)
