@@ -15,6 +15,7 @@ from tsreduce.plans import experiment, lp
 from tsreduce.plans.experiment import Experiment, run_experiment, run_grid
 from tsreduce.plans.solver import Matrix, solve, solve_arrays
 from tsreduce.sources import tables as T
+from tsreduce.sources.scratch import Scratch
 
 
 def got(df, *order):
@@ -371,20 +372,19 @@ def test_grid_of_experiments(spark, small, tmp_path, monkeypatch):
             file = name.removesuffix("_raw").replace("_", "-")
             (tmp_path / "toy").mkdir(exist_ok=True)
             (tmp_path / "toy" / f"{file}.csv").write_text("\n".join(",".join("" if v is None else str(v) for v in r) for r in rows) + "\n")
-    (tmp_path / "toy.csv").write_text(",".join(c.split()[0] for c in T.GRID.split(", ")) + "\n2,2,k_means,euclidean,dirac,10,1e-4,none\n2,2,k_means,euclidean,convex,10,1e-4,none\n2,2,k_means,euclidean,convex,20,1e-4,none\n")
-    searches, closed = [], []
+    (tmp_path / "toy.csv").write_text(",".join(c.split()[0] for c in T.GRID.split(", ")) + "\n2,2,k_means,euclidean,dirac,10,1e-4,none\n2,2,k_means,euclidean,convex,10,1e-4,none\n")
+    closed = []
     monkeypatch.setattr(experiment.Shared, "close", lambda self, close=experiment.Shared.close: (closed.append(self.searches), close(self)))
     before = held(spark)
-    for _ in range(2):
-        assert run_grid(spark, str(tmp_path), ["toy"], str(tmp_path / "out"), seeds=(7, 8)) == 6
-        searches.append(closed[-1])
+    for seeds, ran in (((7,), 2), ((7, 8), 2), ((7, 8), 0)):
+        assert run_grid(spark, str(tmp_path), ["toy"], str(tmp_path / "out"), seeds=seeds) == ran
         assert held(spark) == before  # all that was kept is given back
         # a repeated run adds nothing
         lines = (tmp_path / "out" / "toy.csv").read_text().splitlines()
-        assert len(lines) == 7 and sorted(x.split(",")[1] for x in lines[1:]) == ["7"] * 3 + ["8"] * 3
+        assert sorted(x.split(",")[1] for x in lines[1:]) == [str(s) for s in seeds for _ in range(2)]
         units = T.read_runs(spark, str(tmp_path / "out" / "toy" / "invested_units"), T.VARIABLE_SCHEMAS["invested_units"])
-        assert got(units.select("name", "seed", "id"), "name", "seed") == [(n, seed, "dear") for n in (f"2_2_k_means_euclidean_{k}_0.0001" for k in ("convex_10", "convex_20", "dirac_10")) for seed in (7, 8)]
-    assert searches == [1, 1]  # three experiments share one search
+        assert got(units.select("name", "seed", "id"), "name", "seed") == [(f"2_2_k_means_euclidean_{k}_10_0.0001", s, "dear") for k in ("convex", "dirac") for s in seeds]
+    assert closed == [1, 1]  # two experiments share one search
 
 
 def held(spark):
@@ -418,20 +418,22 @@ def test_numbered_programme(spark, whole, tmp_path):
     c = Catalog(whole, 2)
     c = c.with_(rp_profiles=c.profiles.where("period <= 2").withColumnRenamed("period", "rep_period"))
     w = spark.createDataFrame([(1, 1, 1.0), (2, 1, 0.25), (2, 2, 0.75), (3, 2, 1.0), (4, 1, 0.5), (4, 2, 0.5)], clustering.WEIGHTS)
-    p = lp.build(c, w)
+    built = lp.build(c, w)
+    scratch = Scratch(spark)
+    p = lp.Programme(scratch.store(built.variables), scratch.store(built.rows), scratch.store(built.terms))
     n = lp.numbered_programme(p)
-    index = [r[0] for r in n.rows.select("index").collect()]
-    col = [r[0] for r in n.columns.select("col").collect()]
-    assert sorted(index) == list(range(len(index))) and sorted(col) == list(range(len(col)))
-    assert not [r for r in n.rows.select("row").collect() if "." in r[0]]  # no row is named by a double
-    back = n.entries.join(n.rows, "index").join(n.columns, "col").select("row", *lp.VAR, "a")
-    assert got(back, "row", *lp.VAR) == got(p.terms.select("row", *lp.VAR, "a"), "row", *lp.VAR)
     n.write(str(tmp_path / "coo"))
-    assert spark.read.parquet(str(tmp_path / "coo/entries")).count() == n.entries.count()
+    columns, rows, entries = (spark.read.parquet(str(tmp_path / "coo" / k)) for k in ("columns", "rows", "entries"))
+    for df, i, of in ((rows, "index", p.rows), (columns, "col", p.variables)):
+        assert [r[0] for r in df.select(i).orderBy(i).collect()] == list(range(of.count()))
+    assert rows.where("row LIKE '%.%'").isEmpty()  # no row is named by a double
+    back = entries.join(rows, "index").join(columns, "col").select("row", *lp.VAR, "a")
+    assert got(back, "row", *lp.VAR) == got(p.terms.select("row", *lp.VAR, "a"), "row", *lp.VAR)
     # blended weights: what a period's level changes by is shared among its representatives
     inter = {(r["name"], r["r"]): r["a"] for r in p.terms.where("row = 'inter|lake|2'").collect() if r["name"].startswith("state_of_charge_intra")}
     assert inter == {("state_of_charge_intra", 1): -0.25, ("state_of_charge_intra", 2): -0.75, ("state_of_charge_intra_0", 1): 0.25, ("state_of_charge_intra_0", 2): 0.75}
-    p.release()
+    built.release()
+    scratch.close()
 
 
 def test_duplicate_demand_gives_two_balances(spark, small):

@@ -19,7 +19,7 @@ from tsreduce.operators.weights import fit_weights, projection_error
 from tsreduce.plans.lp import Programme, build, fix
 from tsreduce.plans.solver import Solution, solve
 from tsreduce.sources.scratch import Scratch
-from tsreduce.sources.tables import ExperimentResult, append_run, append_variables, read_data_from_dir, read_run_data, save_result
+from tsreduce.sources.tables import ExperimentResult, append_run, append_variables, has_run, read_data_from_dir, read_run_data, save_result
 
 
 @dataclass(frozen=True)
@@ -172,8 +172,8 @@ def run_grid(spark: SparkSession, inputs: str, names: Sequence[str], outputs: st
     """Runs each experiment of the grids inputs/name.csv over the tables of inputs/name, once for each seed; how many ran.
 
     Each gives a row of the partitioned table outputs/name/results and of the file outputs/name.csv, and its variables, if it
-    was solved, in the partitioned tables outputs/name/variable, all by the experiment's name and the seed; a run that is
-    there already adds nothing. Tables are read once, experiments that need the same search share it, and
+    was solved, in the partitioned tables outputs/name/variable, all by the experiment's name and the seed. A run that has
+    its result already is left out, so a grid that was killed goes on where it was. Tables are read once, experiments that need the same search share it, and
     at_once of them run side by side. Without seeds, five are drawn from 1 to 1000. Nothing here draws at random, so a seed
     only names its rows: an experiment runs once, and its rows are written for every seed.
     """
@@ -181,19 +181,25 @@ def run_grid(spark: SparkSession, inputs: str, names: Sequence[str], outputs: st
     ran = 0
     for name in names:
         grid = [Experiment(**row.asDict()) for row in read_run_data(spark, f"{inputs}/{name}.csv").collect()]
+        done = f"{outputs}/{name}/results"
+        open_ = {e: [seed for seed in seeds if not has_run(spark, done, name=e.name, seed=seed)] for e in grid}
+        grid = [e for e in open_ if open_[e]]
+        if not grid:
+            continue
         began = time.perf_counter()
         shared = Shared(read_data_from_dir(spark, f"{inputs}/{name}"))
         read = time.perf_counter() - began
         try:
             with ThreadPoolExecutor(at_once) as pool:
                 for group in plan_grid(grid):
-                    for result, solution in pool.map(lambda e: run_experiment(shared.tables, e, shared=shared, **how), group):
-                        for seed in seeds:
+                    for e, (result, solution) in zip(group, pool.map(lambda e: run_experiment(shared.tables, e, shared=shared, **how), group)):
+                        for seed in open_[e]:
                             row = replace(result, seed=seed)
+                            # the result comes last: a run that has one is whole
                             append_variables(solution, f"{outputs}/{name}", result.name, seed)
-                            if append_run(row.as_frame(spark, read), f"{outputs}/{name}/results", name=row.name, seed=seed):
+                            if append_run(row.as_frame(spark, read), done, name=row.name, seed=seed):
                                 save_result(row, spark, f"{outputs}/{name}.csv", read)
-                            ran += 1
+                                ran += 1
                     shared.forget(Shared.key(group[0]))
         finally:
             shared.close()

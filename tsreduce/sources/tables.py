@@ -177,6 +177,15 @@ def _escaped(value) -> str:
     return "".join(c if c.isalnum() or c in "_-. " else "".join(f"%{b:02X}" for b in c.encode()) for c in str(value))
 
 
+def _run_path(folder: str, run: dict) -> str:
+    return "/".join([folder.rstrip("/"), *(f"{k}={_escaped(v)}" for k, v in run.items())])
+
+
+def has_run(spark: SparkSession, folder: str, **run) -> bool:
+    fs, target = _file_system(spark, _run_path(folder, run))
+    return fs.exists(target)
+
+
 def append_run(rows: DataFrame, folder: str, **run) -> bool:
     """Adds the rows of one run to a partitioned table of CSV parts, once: folder/key=value/... for the keys that name the run.
 
@@ -184,8 +193,7 @@ def append_run(rows: DataFrame, folder: str, **run) -> bool:
     is, so a repeated one adds nothing; one that is killed leaves nothing that readers see. Returns whether it was added.
     """
     spark = rows.sparkSession
-    target_path = "/".join([folder.rstrip("/"), *(f"{k}={_escaped(v)}" for k, v in run.items())])
-    fs, target = _file_system(spark, target_path)
+    fs, target = _file_system(spark, _run_path(folder, run))
     if fs.exists(target):
         return False
     staged_path = f"{folder.rstrip('/')}/_staged-{uuid.uuid4().hex}"  # readers skip names that begin so
