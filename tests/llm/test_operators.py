@@ -526,6 +526,25 @@ def test_license_scan(spark):
     assert license_scan.license_scan(df.limit(0)).count() == 0
 
 
+def test_license_versions():
+    """Other versions and names than a template's are reported as such, denied notices not at all."""
+    wordings = {i: t for i, t in license_scan.WORDINGS}
+    gnu = license_scan._gnu
+    commons = "This work is licensed under a Creative Commons {} International License."
+    unnumbered = wordings["BSD-2-Clause"].replace("1. ", "").replace("2. ", "")
+    cases = [
+        (wordings["Apache-2.0"], "Apache-2.0"), (wordings["Apache-2.0"].replace("2.0", "1.1"), "LicenseRef-other-Apache-2.0"), (wordings["Apache-2.0"].replace("may obtain", "can obtain"), "Apache-2.0"),
+        (wordings["MPL-2.0"].replace("2.0", "1.1"), "LicenseRef-other-MPL-2.0"), (gnu("General Public License", "1"), "LicenseRef-other-GPL-2.0"), (gnu("General Public License", "2"), "GPL-2.0"),
+        (gnu("Lesser General Public License", "2.1"), "LGPL-2.1"), (gnu("Library General Public License", "2"), "LicenseRef-other-GPL-2.0"), (commons.format("Attribution 3.0"), "LicenseRef-other-CC-BY-4.0"),
+        (commons.format("Attribution-NoDerivs 4.0"), "LicenseRef-other-CC-BY-4.0"), (commons.format("Attribution-NonCommercial 3.0"), "LicenseRef-other-CC-BY-NC-4.0"), (unnumbered, "BSD-2-Clause"),
+        ("Released under the GNU General Public License (GPL), version 2", "GPL-2.0"), ("Released under the GNU General Public License, version 2.0", "GPL-2.0"), ("Released under the GNU General Public License, version 1", "LicenseRef-other-GPL-2.0"), ("Not this. Released under the MIT License.", "MIT"), ("This is not released under the MIT License.", None),
+        ("It isn't licensed under the MIT License", None), ("It may not be licensed under the MIT License", None),
+    ]
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 3)
+    for text, license in cases:
+        assert [f.license for _, _, f in scanner.scan(text)] == ([license] if license else []), text
+
+
 def test_license_scan_brute_force():
     """All templates at all places of all texts, with words left out and put in, against what the blocks give."""
     rng = np.random.default_rng(8)

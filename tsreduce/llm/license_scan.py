@@ -72,6 +72,10 @@ CANDIDATE = re.compile(r"licen[cs]|copyright|permission (?:is|to)\b|redistributi
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 #: Words of the longest template that counts as short.
 SHORT = 16
+VERSION = re.compile(r"v?([0-9]+(?:\.[0-9]+)*)")
+#: Words that tell no two licenses apart, and words that deny what follows them in a sentence.
+FILLERS = frozenset("a an as at by file in is its license licence of or our that the these this terms under version with work".split())
+DENIALS = re.compile(r"(?:\b(?:not|never)|n['\u2019]t)(?:\s+[^\W_]+)?\s*[\"'\u2019(]*$", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -120,6 +124,12 @@ def align(want: list[str], have: list[str], at: int, skipped: int, most: int) ->
     return None
 
 
+def version_of(word: str) -> str | None:
+    """The number of a version (2, 2.0, v2.0: all 2), or None where word is none."""
+    found = VERSION.fullmatch(word)
+    return re.sub(r"(?:\.0)+$", "", found[1]) if found else None
+
+
 class Scanner:
     def __init__(self, templates: Sequence[tuple[str, str]], most_missing: int) -> None:
         import zstandard
@@ -134,6 +144,11 @@ class Scanner:
         # short templates are sought in short blocks: in a long one their few bytes are lost in what its own words save
         kinds = [[i for i, w in enumerate(self.wording) if (len(w) > SHORT) == long] for long in (False, True)]
         self.tiers = [(tuple(k), max(len(self.wording[i]) for i in k) + most_missing) for k in kinds if k]
+        # neighbours in the short wordings of a license: a word between them changes its name
+        self.names: dict[str, set[tuple[str, str]]] = {}
+        for (name, _), w in zip(templates, self.wording):
+            if len(w) <= SHORT:
+                self.names.setdefault(name, set()).update(zip(w, w[1:]))
         self.judge = lru_cache(maxsize=20_000)(self._judge)
 
     def matches(self, i: int, have: tuple[str, ...], places: dict[str, list[int]]) -> Iterator[Found]:
@@ -144,7 +159,34 @@ class Scanner:
                 met = align(want, have, at, skipped, most)
                 if met is not None:
                     end, missing, extra = met
-                    yield Found(self.templates[i][0], i, 0, at, end, tuple(want[k] for k in missing), tuple(have[k] for k in extra))
+                    name = self.templates[i][0]
+                    if (missing or extra) and self.other(i, have[at : end + 1], [want[k] for k in missing], [k - at for k in extra]):
+                        name = f"LicenseRef-other-{name}"
+                    yield Found(name, i, 0, at, end, tuple(want[k] for k in missing), tuple(have[k] for k in extra))
+
+    def other(self, i: int, notice: Sequence[str], missing: Sequence[str], extra: Sequence[int]) -> bool:
+        """Whether the words in which a notice differs from template i make it that of another version or license.
+
+        They do if the license's own version gives way to another or is nowhere, if a word of its name is nowhere, or
+        if a word that is no filler stands between two neighbours of its name. notice has the word after it too, which may
+        be the version in another form; extra are places of the notice.
+        """
+        name, want = self.templates[i][0], self.wording[i]
+        own, names = set(words(name)), self.names.get(name, frozenset())
+        version = version_of(name.rpartition("-")[2])
+        replaced = any(version_of(notice[k]) not in (None, version) for k in extra)
+        for w in set(missing):
+            if version is not None and version_of(w) == version:
+                if replaced or all(version_of(x) != version for x in notice):
+                    return True
+            elif w not in notice and w not in FILLERS and version_of(w) is None and (w in own or len(want) <= SHORT and any(w in pair for pair in names)):
+                return True
+        for k in extra:
+            before = next((notice[j] for j in range(k - 1, -1, -1) if j not in extra), None)
+            after = next((notice[j] for j in range(k + 1, len(notice)) if j not in extra), None)
+            if notice[k] not in FILLERS and notice[k] not in own and (before, after) in names:
+                return True
+        return False
 
     def _judge(self, have: tuple[str, ...], among: tuple[int, ...]) -> tuple[Found, ...]:
         """What fits of these templates in a block. They are tried in order of the bytes that they save; the least ones too, as in a block of few bytes a template may save none and yet be there."""
@@ -169,7 +211,11 @@ class Scanner:
         return sorted(out, key=lambda f: f.first)
 
     def scan(self, text: str) -> Iterator[tuple[int, int, Found]]:
-        """(first character, end, Found) of each notice. A block is what lies within the longest template's reach of a telling word; blocks that touch are one."""
+        """(first character, end, Found) of each notice. A block is what lies within the longest template's reach of a telling word; blocks that touch are one.
+
+        A notice that differs from its template in a version or name is LicenseRef-other-<license>; one that its
+        sentence denies ("not released under ...") is none, though its words are taken.
+        """
         telling = [m.start() for m in CANDIDATE.finditer(text)]
         if not telling:
             return
@@ -188,7 +234,11 @@ class Scanner:
                 have = tuple(text[a:b].lower() for a, b in spans[lo:hi])
                 met.extend(replace(f, first=lo + f.first, end=lo + f.end) for f in self.judge(have, among))
         for f in self.chosen(met):
-            yield spans[f.first][0], spans[f.end - 1][1], f
+            first = spans[f.first][0]
+            # four words at most lie in what is looked at, however long they are
+            if DENIALS.search(text, spans[max(0, f.first - 4)][0], first):
+                continue
+            yield first, spans[f.end - 1][1], f
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: Sequence[tuple[str, str]] = TEMPLATES, most_missing: int = 3) -> DataFrame:
@@ -198,7 +248,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that a template may reach from a telling word, is compressed alone and with each template as a raw zstandard
     dictionary; templates are ranked by the bytes that they save. One is confirmed where the block has its words in
     order, of which at most most_missing (and an eighth) are missing, with as many others between; exact is a match
-    without either. A block gives all its notices that share no words. Equal blocks of a task are judged once. Null and
+    without either. If the words in which they differ are the license's version or within its name, license is
+    LicenseRef-other-<license>; a notice that its sentence denies is none. A block gives all its
+    notices that share no words. Equal blocks of a task are judged once. Null and
     empty texts have no notice; repeated rows give theirs each; other columns aren't read; an empty table gives none.
     """
     kind = dict(docs.dtypes)[id_col]
