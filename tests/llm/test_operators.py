@@ -593,3 +593,32 @@ def test_revisits(spark):
     out = {r.record_id: r for r in warc_revisit.resolve_revisits(spark.createDataFrame(rows, "record_id long, url string, at long, kind string, headers map<string,string>, payload string")).collect()}
     assert [out[i].resolution for i in range(1, 8)] == ["response", "response", "resolved", "mismatch", "resolved", "missing", "missing"]
     assert out[3].payload == "p1" and out[3].headers == {"etag": 'W/"x"', "content-type": "t", "date": "d"} and out[5].refers_to == 2 and len(out) == 7
+
+
+def test_many_rows_without_a_url(spark):
+    """Empty tables, clashing columns, repeated rows; rows without a key are dealt to all tasks of the joins."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        made = [(i, None if i % 2 else "no url", None, "x", 1) for i in range(2000)] + [(2000, "http://a.test/1", None, "x", 1)] * 2
+        pages = spark.createDataFrame(made, "page_id long, url string, html string, node string, spread int")
+        edges = spark.createDataFrame([("http://a.test/1", "http://com/en/1")], "source_url string, target_url string")
+        judged = url_filter.filter_urls(pages, Q.URL_RULES, edges)
+        assert sorted({(r.host, r.path, r.rule, r.verdict) for r in judged.where("page_id < 2000").collect()}, key=str) == [("", "", None, "allow")]
+        assert [r.verdict for r in judged.where("page_id = 2000").collect()] == ["block", "block"]
+        held = [r["count"] for r in judged.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(held) == 2002 and max(held) < 1000
+        assert url_filter.filter_urls(pages.limit(0), Q.URL_RULES, None).count() == 0
+
+        kind = "record_id long, url string, at long, kind string, headers map<string,string>, payload string, canonical string, prior long, spread int"
+        rest = ("c", 1, 1)
+        first = (1, "http://a.test/", 10, "response", {"content-type": "t"}, "p", *rest)
+        again = (2, "http://a.test/", 20, "revisit", None, None, *rest)
+        lost = [(i, None if i % 2 else "http://a.test/", 30 if i % 2 else None, "revisit", None, None, *rest) for i in range(3, 1003)]
+        out = warc_revisit.resolve_revisits(spark.createDataFrame([first, first, again, again, *lost], kind)).collect()
+        assert len(out) == 1004 and {r.resolution for r in out if r.record_id > 2} == {"missing"}
+        assert [(r.resolution, r.refers_to, r.payload) for r in out if r.record_id == 2] == [("resolved", 1, "p")] * 2
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)

@@ -55,10 +55,12 @@ def resolve_revisits(records: DataFrame, *, block_seconds: int = 86_400, permitt
     instants = known.groupBy(F.col("canonical").alias("url"), "at").agg(F.max(full).alias("full"))
     prior = latest_before(instants, block_seconds).where("prior IS NOT NULL")
     revisits = ours.where("kind <> 'response' OR kind IS NULL")
-    asked = revisits.join(prior.withColumnRenamed("url", "canonical"), ["canonical", "at"], "left")
-    # revisits without an earlier response match nothing: dealt by record, they don't all meet in one task. The sources'
-    # spread, always 0, is no literal: both sides are then dealt by both keys
+    # revisits without a url or time, and below those without an earlier response, match nothing: dealt by record, they
+    # don't all meet in one task. The others' spread, always 0, is no literal: both sides are then dealt by all keys
     spread = F.pmod(F.hash("record_id"), F.lit(4096))
+    nowhere = F.col("canonical").isNull() | F.col("at").isNull()
+    at = prior.withColumnRenamed("url", "canonical").withColumn("spread", F.pmod(F.hash("prior"), F.lit(1)))
+    asked = revisits.withColumn("spread", F.when(nowhere, spread).otherwise(0)).join(at, ["canonical", "at", "spread"], "left").drop("spread")
     source = ours.where("kind = 'response'").select(F.col("record_id").alias("prior"), F.pmod(F.hash("record_id"), F.lit(1)).alias("spread"), F.col("headers").alias("full_headers"), F.col("payload").alias("full_payload")).dropDuplicates(["prior", "spread"])
     met = asked.withColumn("spread", F.when(F.col("prior").isNull(), spread).otherwise(0)).join(source, ["prior", "spread"], "left")
     mine, full_h = F.col("headers"), F.col("full_headers")
